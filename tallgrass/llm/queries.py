@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .minhash_dedup import near_dedup
 from .mixing import mix
 from .token_counts import token_counts
 from .token_output import tokens_written_and_read
@@ -36,12 +37,17 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), size=4, letters_only=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 #: Lower-cases A-Z only.
@@ -65,6 +71,19 @@ its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hits on d.doc_id = hits.doc_id left join its on d.doc_id = its.doc_id""",
+    "op10_minhash_dedup": rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, g from (
+    select doc_id, array_to_string(w[i:i + 3], ' ') as g
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0))),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as common from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * common >= 80 * (na.n + nb.n - common)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as c from d union select e.b, r.c from r join e on e.a = r.doc_id),
+m as (select doc_id, min(c) as component_id from r group by 1)
+select m.doc_id, coalesce(n.n, 0) as n_shingles, component_id, m.doc_id = component_id as kept from m left join n on n.doc_id = m.doc_id""",
     "op3_exact_dedup": r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
