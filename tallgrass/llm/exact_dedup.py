@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", fir
         split = rows.withColumn("digit", F.expr(f"substring(rest, 1, {width})"))
         groups = split.groupBy("group", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("next"), F.min("id").alias("keep"), F.coalesce(F.min_by("row", "id"), F.min("row")).alias("stays"))
         shared = scratch.put(groups.where("n > 1"))
-        met = split.join(shared, ["group", "digit"], "left")
+        met = split.join(shared.hint("merge"), ["group", "digit"], "left")
         alone = F.col("n").isNull()
         over = alone | (F.octet_length("digit") < width)
         step = scratch.put(
