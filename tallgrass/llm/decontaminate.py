@@ -70,9 +70,9 @@ def scan(text: bytes, found: list[bytes], machine) -> tuple[list[tuple[int, int]
 _machines: dict[str, object] = {}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", part_bytes: int = 32 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", part_bytes: int = 32 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """For each row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated, the list of items and
-    the ``spans`` hit, as byte offsets into the UTF-8 text.
+    the ``spans`` hit, as byte offsets into the UTF-8 text; and the columns of ``keep``.
 
     Null or empty texts have no words and no hits; a null or repeated key is kept, one output row
     for each input row; other columns are ignored. Items with a null key, a null text or no words are never
@@ -86,7 +86,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, tex
     items = benchmark.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("string").alias("item"), utf8(item_text).alias("body"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("body") + F.octet_length("item")), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
-    rows = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    kept = [f"keep_{c}" for c in keep]
+    kept_schema = "".join(f", `keep_{c}` {dict(docs.dtypes)[c]}" for c in keep)
     for part in range(parts):
         held = [(r.item, bytes(r.body)) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()]
         sent = spark.sparkContext.broadcast(held)
@@ -99,10 +101,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, tex
                 _machines[name] = automaton(sent.value, window)
             machine, ids = _machines[name], [x for x, _ in sent.value]
             for b in slices(batches, "text"):
-                yield _scanned(b, machine, ids, last)
+                made = _scanned(b, machine, ids, last)
+                yield pa.RecordBatch.from_arrays([*made.columns, *(b.column(c) for c in kept)], [*made.schema.names, *kept])
 
-        rows = rows.mapInArrow(scanned, OUT if last else "key long, text binary, items array<string>, spans array<struct<start:long,end:long>>")
-    return rows.select(F.col("key").alias(key), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
+        rows = rows.mapInArrow(scanned, (OUT if last else "key long, text binary, items array<string>, spans array<struct<start:long,end:long>>") + kept_schema)
+    return rows.select(F.col("key").alias(key), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def _scanned(b: pa.RecordBatch, machine, ids: list[str], last: bool) -> pa.RecordBatch:

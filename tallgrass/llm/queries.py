@@ -15,6 +15,7 @@ from .minhash_dedup import near_dedup
 from .mixing import mix
 from .token_counts import token_counts
 from .token_output import tokens_written_and_read
+from .toxicity import severity, train
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return severity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
