@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .minhash_dedup import near_dedup
 from .mixing import mix
+from .suffix_dedup import repeated_bytes
 from .token_counts import token_counts
 from .token_output import tokens_written_and_read
 from .toxicity import severity, train
@@ -40,6 +41,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
     "op10_minhash_dedup": op10_minhash_dedup,
