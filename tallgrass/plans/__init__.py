@@ -1,0 +1,6 @@
+"""All queries; importing a module registers its own."""
+
+from . import catalog_queries
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "catalog_queries"]
