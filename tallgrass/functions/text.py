@@ -109,7 +109,7 @@ def quality(c: Column) -> dict[str, Column]:
 
 def contact(c: Column) -> dict[str, Column]:
     """The first twelve filled lines, the first e-mail and the first phone."""
-    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return {
         "head_lines": F.slice(lines, 1, 12),
         "email": F.nullif(F.lower(F.regexp_extract(c, f"({EMAIL})", 1)), F.lit("")),
@@ -119,7 +119,7 @@ def contact(c: Column) -> dict[str, Column]:
 
 def string_list(c: Column) -> Column:
     """Trimmed items without blanks; null as an empty list."""
-    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def split_list(c: Column) -> Column:
