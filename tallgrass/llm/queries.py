@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .minhash_dedup import near_dedup
 from .mixing import mix
+from .substring_dedup import repeated_passages
 from .suffix_dedup import repeated_bytes
 from .token_counts import token_counts
 from .token_output import tokens_written_and_read
@@ -32,6 +33,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return severity(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op7_suffix_dedup": op7_suffix_dedup,
