@@ -9,6 +9,7 @@ POSTING = (
     "title string, job_url string, apply_url string, company string, location_text string, employment_type string, duration string, compensation_text string, posted_date string, "
     "summary string, responsibilities array<string>, required_skills array<string>, preferred_skills array<string>, job_reference string, job_id string"
 )
+POSTING_FIELDS = ", ".join(x.strip().replace(" ", ":", 1) for x in POSTING.split(","))
 PROFILE = "resume_id string, source_file_name string, sha256 string, headline string, summary string, total_experience_years double, current_title string, current_company string, primary_skills array<string>, secondary_skills array<string>"
 RESUME_FILES = (".pdf", ".docx", ".png", ".jpg", ".jpeg", ".webp", ".tif", ".tiff")
 
@@ -42,8 +43,9 @@ def read_jobs(spark: SparkSession, path: str, targets: list[str], latest_only: b
 
     With ``latest_only`` files that carry a run's stamp are left out.
     """
-    raw = spark.read.schema(POSTING + ", _corrupt_record string").option("recursiveFileLookup", "true").option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)
-    rows = raw.withColumn("file", F.col("_metadata.file_path")).where("_corrupt_record is null").drop("_corrupt_record")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
+    items = F.from_json("value", f"array<struct<{POSTING_FIELDS}>>")
+    rows = files.select(F.col("_metadata.file_path").alias("file"), F.explode(items).alias("job")).select("job.*", "file")
     rows = rows.where(is_job_file(F.col("file"))).withColumn("stem", file_stem(F.col("file")))
     rows = rows.withColumn("target", target_of(F.col("stem"), targets)).withColumn("run_id", run_of(F.col("stem")))
     if latest_only:
