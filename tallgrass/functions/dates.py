@@ -58,16 +58,15 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 # How a range of dates is written, and words for the present.
-_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?"
-_POINT = rf"(?:{_MONTH}\s+\d{{4}}|\d{{1,2}}/\d{{4}}|\d{{4}})"
-PRESENT = ("present", "current", "now", "till date", "ongoing")
-RANGE = rf"(?i)({_POINT})\s*(?:-|–|—|\bto\b)\s*({_POINT}|present|current|now|till date|ongoing)"
+_POINT = r"(?:[A-Za-z]{3,9}\s+)?\d{4}|\d{1,2}/\d{4}|\d{1,2}[-/]\d{4}"
+PRESENT = ("present", "current", "currently working", "till date", "now")
+RANGE = rf"(?i)({_POINT})\s*(?:-|–|—|\bto\b|\buntil\b|\bthrough\b)\s*(present|currently\s+working|current|till\s+date|now|{_POINT})"
 
 
 def date_range(text: Column) -> dict[str, Column]:
     """Start, end and whether it runs on, of the first range in a text."""
     start, end = F.regexp_extract(text, RANGE, 1), F.regexp_extract(text, RANGE, 2)
-    current = F.lower(end).isin(*PRESENT)
+    current = F.regexp_replace(F.lower(end), r"\s+", " ").isin(*PRESENT)
     return {"start_date": F.nullif(start, F.lit("")), "end_date": F.when(current, "Present").otherwise(F.nullif(end, F.lit(""))), "is_current": current}
 
 

@@ -39,8 +39,8 @@ def whole_score(text: Column) -> Column:
 
 
 def completeness(filled: dict[str, Column]) -> Column:
-    """How complete an extracted payload is: title 5, URL 3, company 2, place 1, type 1, text 2, skills 2."""
-    weights = {"title": 5, "url": 3, "company": 2, "location": 1, "employment_type": 1, "description": 2, "skills": 2}
+    """How complete an extracted payload is: the sum of the weights of its filled fields."""
+    weights = {"title": 5, "job_url": 3, "summary": 2, "location_text": 1, "employment_type": 1, "responsibilities": 2, "required_skills": 2}
     return sum((F.when(filled[k], w).otherwise(0) for k, w in weights.items() if k in filled), F.lit(0))
 
 

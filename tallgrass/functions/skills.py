@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import unique_by_lower
+from .text import keep_first, unique_by_lower
 
 # Labels and word endings that aren't skills, display names, terms looked for in free text.
 LABELS = (
@@ -68,8 +68,7 @@ def canonical_skill(c: Column, aliases: dict[str, str] | None = None) -> Column:
 def unique_skills(c: Column, aliases: dict[str, str] | None = None) -> Column:
     """Canonical skills, the first of each key, in order."""
     shown = F.filter(F.transform(c, lambda x: canonical_skill(x, aliases)), lambda x: x.isNotNull())
-    keys = F.transform(shown, skill_key)
-    return F.filter(shown, lambda x, i: F.array_position(keys, skill_key(x)) == i + 1)
+    return keep_first(shown, skill_key)
 
 
 def terms_in(text: Column, vocabulary: tuple[str, ...] = KNOWN) -> Column:

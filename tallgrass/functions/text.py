@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ SPACES = r"(?U)\s+"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?\d[\d\s().-]{7,}\d"
 SECTIONS = ("summary", "experience", "education", "skills", "projects", "certifications")
-BULLET = r"^\s*[-*•●▪–]\s+"
+BULLET = r"^\s*(?:[-*•▪▫●◦‣❖]+|\d+[.)])\s*"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -126,8 +128,15 @@ def split_list(c: Column) -> Column:
     return string_list(F.split(c, r"[,;|]\s*"))
 
 
+def keep_first(c: Column, key: Callable[[Column], Column]) -> Column:
+    """Strings of a list, the first for each key, in order. A fold, so that the list is computed once."""
+    pairs = F.transform(c, lambda x: F.struct(key(x).alias("k"), x.alias("v")))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    kept = F.aggregate(pairs, none, lambda s, p: F.when(F.exists(s, lambda q: q.k == p.k), s).otherwise(F.concat(s, F.array(p))))
+    return F.transform(kept, lambda p: p.v)
+
+
 def unique_by_lower(c: Column, most: int | None = None) -> Column:
     """The first of items that are equal but for case, in order; at most ``most`` of them."""
-    keys = F.transform(c, F.lower)
-    kept = F.filter(c, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    kept = keep_first(c, F.lower)
     return F.slice(kept, 1, most) if most else kept

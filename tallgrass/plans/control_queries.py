@@ -240,7 +240,7 @@ def srt_suffix_keys(t):
 def srt_best_payload(t):
     from ..functions.scoring import completeness
 
-    s = completeness({"title": F.col("l_returnflag") == "R", "url": F.col("l_quantity") > 25, "company": F.col("l_tax") > 0}).alias("score")
+    s = completeness({"title": F.col("l_returnflag") == "R", "job_url": F.col("l_quantity") > 25, "summary": F.col("l_tax") > 0}).alias("score")
     return lifecycle.latest(t.lineitem.select("l_orderkey", "l_linenumber", s), ["l_orderkey"], F.desc("score"), F.col("l_linenumber"))
 
 

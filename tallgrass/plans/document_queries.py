@@ -12,12 +12,12 @@ LINES_SQL = r"""raw as (select doc_id, unnest(string_split_regex(coalesce(text,
 lines as (select doc_id, row_number() over (partition by doc_id order by raw_index) as line_no, raw_index, trim(line) as line from raw where trim(line) <> '')"""
 
 
-@query("doc_lines", rf"with {LINES_SQL} select doc_id, line_no, concat('L', lpad(cast(line_no as varchar), 4, '0')) as line_id, raw_index, md5(line) as md5, regexp_matches(line, '^\s*[-*•●▪–]\s+') as is_bullet from lines")
+@query("doc_lines", rf"with {LINES_SQL} select doc_id, line_no, concat('L', lpad(cast(line_no as varchar), 4, '0')) as line_id, raw_index, md5(line) as md5, regexp_matches(line, '^\s*(?:[-*•▪▫●◦‣❖]+|\d+[.)])\s*') as is_bullet from lines")
 def doc_lines(t):
     return d.lines(t.documents, "doc_id", "text").select("doc_id", "line_no", "line_id", "raw_index", F.md5("line").alias("md5"), "is_bullet")
 
 
-@query("doc_bullets", rf"with {LINES_SQL} select doc_id, line_no, trim(regexp_replace(concat('- ', line), '^\s*[-*•●▪–]\s+', '')) as bare from lines where line_no <= 2")
+@query("doc_bullets", rf"with {LINES_SQL} select doc_id, line_no, trim(regexp_replace(concat('- ', line), '^\s*(?:[-*•▪▫●◦‣❖]+|\d+[.)])\s*', '')) as bare from lines where line_no <= 2")
 def doc_bullets(t):
     rows = d.lines(t.documents, "doc_id", "text").where("line_no <= 2")
     return rows.select("doc_id", "line_no", text.without_bullet(F.concat(F.lit("- "), "line")).alias("bare"))
