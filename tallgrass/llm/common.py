@@ -99,7 +99,7 @@ def words(raw: bytes, classes: bytes = ALNUM) -> list[bytes]:
     return out.split() if classes is ALNUM else [w for w in out.split(b" ") if w]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 3 << 18) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column`` holds about ``most`` bytes; one longer value stays whole."""
     for batch in batches:
         if not batch.num_rows:
