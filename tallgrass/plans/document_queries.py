@@ -17,18 +17,18 @@ def doc_lines(t):
     return d.lines(t.documents, "doc_id", "text").select("doc_id", "line_no", "line_id", "raw_index", F.md5("line").alias("md5"), "is_bullet")
 
 
-@query("doc_bullets", rf"with {LINES_SQL} select doc_id, line_no, trim(regexp_replace(concat('- ', line), '^\s*(?:[-*•▪▫●◦‣❖]+|\d+[.)])\s*', '')) as bare from lines where line_no <= 2")
+@query("doc_bullets", rf"with {LINES_SQL} select doc_id, line_no, trim(regexp_replace(concat('- ', line), '^\s*(?:[-*•▪▫●◦‣❖]+|\d+[.)])\s*', '')) as bare from lines")
 def doc_bullets(t):
-    rows = d.lines(t.documents, "doc_id", "text").where("line_no <= 2")
+    rows = d.lines(t.documents, "doc_id", "text")
     return rows.select("doc_id", "line_no", text.without_bullet(F.concat(F.lit("- "), "line")).alias("bare"))
 
 
 TURNS_SQL = "turns as (select conv_id, turn, role, text, cast(sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as bigint) as section_no from conversations)"
 
 
-@query("doc_sections", f"with {TURNS_SQL}, s as (select *, last_value(case when role = 'user' then upper(left(text, 10)) end ignore nulls) over (partition by conv_id order by turn) as section from turns) select conv_id, section_no, section, left(string_agg(text, chr(10) order by turn), 300) as body from s group by 1, 2, 3")
+@query("doc_sections", f"with {TURNS_SQL}, s as (select *, last_value(case when role = 'user' then concat(role, ' ', turn) end ignore nulls) over (partition by conv_id order by turn) as section from turns) select conv_id, section_no, section, left(string_agg(text, chr(10) order by turn), 300) as body from s group by 1, 2, 3")
 def doc_sections(t):
-    rows = d.sections(t.conversations, "conv_id", "turn", F.col("role") == "user", F.upper(F.left("text", F.lit(10))))
+    rows = d.sections(t.conversations, "conv_id", "turn", F.col("role") == "user", F.concat_ws(" ", "role", "turn"))
     return d.section_texts(rows, "conv_id", "turn", "text", 300)
 
 
