@@ -27,7 +27,13 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 
 
+#: Bits of each number below 2**16.
+SHORT = np.concatenate([np.zeros(1, np.uint8), np.repeat(np.arange(1, 17, dtype=np.uint8), 1 << np.arange(16))])
+
+
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
+    if not len(ids) or ids.max() < len(SHORT):
+        return SHORT[ids.astype(np.uint16)]
     out = np.zeros(len(ids), np.uint8)
     rest = ids.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -66,28 +72,28 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not blocks:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32)
-    table = np.zeros(blocks * BLOCK + 64, np.uint64)
-    table[:n] = ids
-    bits = bit_lengths(table[: blocks * BLOCK]).reshape(blocks, BLOCK)
+    # blocks with room behind them, so that a block's last word is filled with zeros
+    wide = BLOCK + 64
+    table = np.zeros((blocks, wide), np.uint64)
+    whole = n // BLOCK
+    table[:whole, :BLOCK] = ids[: whole * BLOCK].reshape(whole, BLOCK)
+    table[whole:, : n - whole * BLOCK] = ids[whole * BLOCK :]
+    bits = bit_lengths(table[:, :BLOCK].reshape(-1)).reshape(blocks, BLOCK)
     chosen = _selectors(bits)
     lengths = np.full(blocks, BLOCK, np.int64)
     lengths[-1] = n - (blocks - 1) * BLOCK
     taken = COUNTS[chosen]
     at, alive = np.zeros(blocks, np.int64), np.arange(blocks)
-    starts: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
+    begins = np.zeros((blocks, wide), bool)
     while len(alive):  # all blocks advance by a word at a time
         here = at[alive]
-        starts.append(alive * BLOCK + here)
-        owners.append(alive)
+        begins[alive, here] = True
         at[alive] = here + taken[alive, here]
         alive = alive[at[alive] < lengths[alive]]
-    owner, start = np.concatenate(owners), np.concatenate(starts)
-    order = np.argsort(start, kind="stable")
-    owner, start = owner[order], start[order]
-    selector = chosen.reshape(-1)[start]
-    # ids past a block's end are another block's: they are masked as the word is filled
-    end = owner * BLOCK + lengths[owner]
+    owner, inside = np.nonzero(begins)
+    selector = chosen[owner, inside]
+    start = owner * wide + inside
+    table = table.reshape(-1)
     escapes = selector == 0
     place = np.arange(len(start)) + np.concatenate([[0], np.cumsum(escapes)[:-1]])
     words = np.zeros(len(start) + int(escapes.sum()), np.uint64)
@@ -99,12 +105,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         begin, full = start[mine], np.zeros(len(mine), np.uint64)
         for j in range(int(COUNTS[s])):
-            at_j = begin + j
-            full |= np.where(at_j < end[mine], table[np.minimum(at_j, len(table) - 1)], np.uint64(0)) << np.uint64(j * int(BITS[s]))
+            full |= table[begin + j] << np.uint64(j * int(BITS[s]))
         words[place[mine]] |= full
-    first = np.zeros(blocks + 1, np.uint32)
-    np.add.at(first, owner + 1, (1 + escapes).astype(np.uint32))
-    return words, np.cumsum(first).astype(np.uint32)
+    sizes = np.bincount(owner, minlength=blocks) + np.bincount(owner, escapes, blocks).astype(np.int64)
+    return words, np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)
 
 
 def unpack(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
@@ -118,7 +122,7 @@ def unpack(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
         if not raw[i]:
             raw[i + 1] = True
     real = np.flatnonzero(~raw)
-    block = np.searchsorted(first, real, side="right") - 1
+    block = np.repeat(np.arange(len(first) - 1), np.diff(first.astype(np.int64)))[real]
     counts = COUNTS[selector[real]]
     before = np.cumsum(counts) - counts
     base = before[np.searchsorted(real, first[:-1])]

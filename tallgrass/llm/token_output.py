@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, slices
-from .pieces import PieceCache
+from .common import Scratch, data, partitions, slices
+from .piece_table import PieceTable, plain
 from .simple8b import read_chunk, write_chunk
 
 CHUNK_IDS = 1 << 18
@@ -28,8 +28,12 @@ CHUNKS = "shard int, before long, n_ids long, data binary"
 class Ids:
     """Ids of texts as little-endian 32-bit bytes.
 
-    Texts are cut at single spaces, which a word tokenizer that drops white space never joins across;
-    each distinct piece is encoded once as long as the cache holds it.
+    Texts are cut at single spaces and line ends, which a word tokenizer that drops white space never joins across;
+    each distinct piece is encoded once as long as a bounded table holds it. A text that is all Latin-1 and without
+    what may begin a special token is lower-cased first, which changes nothing for a tokenizer that lower-cases by
+    character; other texts go to the library whole. Pieces that are one word of Latin letters, with
+    a full stop or comma after it or not, go to the library by thousands in one text, where the tokens that end a word
+    tell them apart.
     """
 
     def __init__(self, path: str):
@@ -37,15 +41,55 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache = PieceCache(self.encoded)
+        self.table = PieceTable(self.encoded)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = dict(zip((".", ",", ""), self.singly([".", ",", ""]), strict=True))
 
-    def encoded(self, pieces: list[str]) -> list[bytes]:
+    def singly(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(pieces), 4096) for e in self.library.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [x.split(" ") for x in texts]
-        get = self.cache.learn(y for x in split for y in x).__getitem__
-        return [b"".join(map(get, x)) for x in split]
+    def together(self, words: list[str]) -> list[bytes]:
+        """Words of letters below U+0250, each of which is one word to the library."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.closes[np.minimum(ids, len(self.closes) - 1)]) + 1) * 4
+            if len(ends) != len(part):  # not so simple after all
+                out += self.singly(part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[start:end])
+                start = end
+        return out
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        tails, stems, other = {}, {}, []
+        for x in pieces:
+            stem = x[:-1] if x[-1:] in (".", ",") else x
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem):
+                tails[x] = stem
+                stems[stem] = None
+            else:
+                other.append(x)
+        known = dict(zip(stems, self.together(list(stems)), strict=True))
+        rest = dict(zip(other, self.singly(other), strict=True))
+        marks = self.marks
+        return [known[stem] + marks[x[len(stem) :]] if (stem := tails.get(x)) is not None else rest[x] for x in pieces]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        flat, at = data(texts)
+        simple = plain(flat, at)
+        if simple.all():
+            ids, sizes = self.table.ids(flat, at)
+            return np.split(ids, np.cumsum(sizes)[:-1])
+        easy = texts.filter(pa.array(simple))
+        done = iter(self(easy) if len(easy) else [])
+        hard = iter(self.singly(texts.filter(pa.array(~simple)).to_pylist()))
+        return [next(done) if x else np.frombuffer(next(hard), "<u4") for x in simple.tolist()]
 
 
 _ids: dict[str, Ids] = {}
@@ -62,17 +106,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end: int | None
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _ids.get(tokenizer) or _ids.setdefault(tokenizer, Ids(tokenizer))
         shard = TaskContext.get().partitionId()
-        tail = b"" if end is None else np.array([end], "<u4").tobytes()
+        tail = np.array([] if end is None else [end], "<u4")
         keys, lengths, held, size, before = [], [], [], 0, 0
 
         def out() -> pa.RecordBatch:
-            made = write_chunk(keys, lengths, np.frombuffer(b"".join(held), "<u4"))
+            made = write_chunk(keys, lengths, np.concatenate(held))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([before]), pa.array([size]), pa.array([made], pa.binary())], ["shard", "before", "n_ids", "data"])
 
-        for b in slices(batches, "text"):
-            for k, ids in zip(b.column("key").to_pylist(), ids_of(b.column("text").to_pylist()), strict=True):
+        for b in slices(batches, "text", 2 << 20):
+            for k, ids in zip(b.column("key").to_pylist(), ids_of(b.column("text")), strict=True):
                 held += [ids, tail]
-                n = (len(ids) + len(tail)) // 4
+                n = len(ids) + len(tail)
                 keys.append(k)
                 lengths.append(n)
                 size += n
