@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,8 +56,11 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        """Frees tables, and the shuffle files of steps that are done: Spark removes those when the driver's garbage is collected."""
         for t in tables:
             self._delete(t._scratch_path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:
         try:
