@@ -16,7 +16,7 @@ from tallgrass.llm.exact_dedup import exact_dedup
 from tallgrass.llm.licenses import detections, license_scan, rules
 from tallgrass.llm.minhash_dedup import least_matches, near_dedup
 from tallgrass.llm.mixing import mix
-from tallgrass.llm.substring_dedup import compact_windows, repeated_passages
+from tallgrass.llm.substring_dedup import Texts, compact_windows, repeated_passages
 from tallgrass.llm.suffix_dedup import repeated_bytes
 from tallgrass.llm.token_counts import Lengths, token_counts
 from tallgrass.llm.token_output import read_tokens, tokens_written_and_read, write_tokens
@@ -177,6 +177,26 @@ def test_compact_windows_cover_each_passage_once():
         assert seen == Counter({(i, j): 1 for i in range(n) for j in range(i + width - 1, n)})
 
 
+def test_windows_never_leave_a_text():
+    rng = np.random.default_rng(2)
+    for width in (1, 2, 5, 8):
+        for sizes in ([30], [8, 9, 5, 40, 8], [1, 2, 3], [8] * 5, []):
+            sets = [rng.integers(0, 2**64, k, dtype=np.uint64) for k in sizes]
+            texts, want = Texts(sets, width), set()
+            for i, h in enumerate(sets):
+                for c in range(len(h)):
+                    left, right = c, c
+                    while left and h[left - 1] > h[c]:
+                        left -= 1
+                    while right + 1 < len(h) and h[right + 1] > h[c]:
+                        right += 1
+                    if right - left + 1 >= width:
+                        want.add((i, left, c, right))
+            found = zip(*(x.tolist() for x in texts.windows(texts.shingles)), strict=True)
+            got = {(int(texts.of[c]), *(x - int(texts.begins[texts.of[c]]) for x in (left, c, right))) for left, c, right in found}
+            assert got == want
+
+
 def test_repeated_passages(docs, odd, none):
     where = defaultdict(set)
     for k, (_, x, *_) in enumerate(odd):
