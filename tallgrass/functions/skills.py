@@ -76,7 +76,9 @@ def terms_in(text: Column, vocabulary: tuple[str, ...] = KNOWN) -> Column:
     flat = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-zA-Z0-9+#./-]+", " "), F.lit(" "))
     ordered = sorted(vocabulary, key=lambda t: (-len(t), t))
     inside = lambda t: rf"(?<![a-zA-Z0-9+#.-])\Q{t}\E(?![a-zA-Z0-9+#.-])"
-    return F.filter(F.array(*[F.when(flat.rlike(inside(t)), F.lit(t)) for t in ordered]), lambda x: x.isNotNull())
+    # the flat text is computed once, as the only item of a list; most terms end at the plain search
+    found = lambda t: F.filter(F.array(*[F.when(t.contains(x) & t.rlike(inside(x)), F.lit(x)) for x in ordered]), lambda x: x.isNotNull())
+    return F.transform(F.array(flat), found)[0]
 
 
 def domains(text: Column, rules=DOMAINS) -> Column:
