@@ -16,7 +16,7 @@ from tallgrass.llm.exact_dedup import exact_dedup
 from tallgrass.llm.licenses import detections, license_scan, rules
 from tallgrass.llm.minhash_dedup import least_matches, near_dedup
 from tallgrass.llm.mixing import mix
-from tallgrass.llm.substring_dedup import Texts, compact_windows, repeated_passages
+from tallgrass.llm.substring_dedup import Texts, agreed, compact_windows, repeated_passages
 from tallgrass.llm.suffix_dedup import repeated_bytes
 from tallgrass.llm.token_counts import Lengths, token_counts
 from tallgrass.llm.token_output import read_tokens, tokens_written_and_read, write_tokens
@@ -211,6 +211,14 @@ def test_repeated_passages(docs, odd, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_two_values_agree_whatever_they_are(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(-(2**63), 2**63 - 1, (1000, 2), dtype=np.int64).tolist()
+    made = spark.createDataFrame([(i, v) for i, pair in enumerate(values) for v in pair] + [(1000, 5), (1000, 5)], "i int, v long")
+    for need, want in ((1, 1001), (2, 1000), (3, 0)):
+        assert made.groupBy("i").agg(agreed("v", need).alias("agreed")).where("agreed").count() == want
+
+
 def test_token_counts(docs, odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Lengths(path).library
