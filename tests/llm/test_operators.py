@@ -16,7 +16,7 @@ from tallgrass.llm.exact_dedup import exact_dedup
 from tallgrass.llm.licenses import detections, license_scan, rules
 from tallgrass.llm.minhash_dedup import least_matches, near_dedup
 from tallgrass.llm.mixing import mix
-from tallgrass.llm.substring_dedup import Texts, agreed, compact_windows, repeated_passages
+from tallgrass.llm.substring_dedup import Texts, agreed, aligned, compact_windows, passages, repeated_passages
 from tallgrass.llm.suffix_dedup import repeated_bytes
 from tallgrass.llm.token_counts import Lengths, token_counts
 from tallgrass.llm.token_output import read_tokens, tokens_written_and_read, write_tokens
@@ -211,6 +211,19 @@ def test_repeated_passages(docs, odd, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_near_passages_with_one_wide_gap():
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 2**64, 96, dtype=np.uint64)
+    other = one.copy()
+    other[43:53] = rng.integers(0, 2**64, 10, dtype=np.uint64)
+    # 86 of 106 shingles in common, between words that have nothing in common
+    a, b = (np.concatenate([rng.integers(0, 2**64, n, dtype=np.uint64), x, rng.integers(0, 2**64, n, dtype=np.uint64)]) for n, x in ((30, one), (50, other)))
+    assert aligned(a, b, 20, 46, 80, 9) == passages(a, b, 46, 80, 9) == [(30, 125, 50, 145)]
+    far = np.concatenate([a[:76], rng.integers(0, 2**64, 40, dtype=np.uint64), a[76:]])
+    assert aligned(a, far, 0, 46, 80, 9) == [(0, 75, 0, 75)] and aligned(a, far, 40, 46, 80, 9) == [(76, 155, 116, 195)]
+    assert sorted(passages(a, far, 46, 80, 9)) == [(0, 75, 0, 75), (76, 155, 116, 195)]
+
+
 def test_two_values_agree_whatever_they_are(spark):
     rng = np.random.default_rng(3)
     values = rng.integers(-(2**63), 2**63 - 1, (1000, 2), dtype=np.int64).tolist()
