@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from random import Random
 
 import numpy as np
 import public_tokenizers
@@ -113,7 +114,7 @@ def test_near_dedup_finds_links_among_many_versions(spark):
     """Versions of one text, each some words away from the one before: links across what a single hub joins."""
     import random
 
-    rng = random.Random(3)
+    rng = Random(3)
     text = [f"w{rng.randrange(5000)}" for _ in range(300)]
     made = []
     for i in range(60):
@@ -211,6 +212,17 @@ def test_repeated_passages(docs, odd, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_passages_that_an_earlier_text_quotes_in_part(spark):
+    rng, made = Random(6), []
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(60):
+        passage = fresh(50)
+        for t, part in enumerate((passage[: (40, 45, 49)[k % 3]], passage, passage)):
+            made.append((3 * k + t, " ".join(fresh(40) + part + fresh(40))))
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(made, "doc_id long, text string").coalesce(1)).collect()}
+    assert {i: (r.class_id, r.n_passages, r.n_repeated_words) for i, r in got.items()} == {3 * k + t: (3 * k + 1, 1, 50) for k in range(60) for t in (1, 2)}
+
+
 def test_near_passages_with_one_wide_gap():
     rng = np.random.default_rng(4)
     one = rng.integers(0, 2**64, 96, dtype=np.uint64)
@@ -333,7 +345,7 @@ def test_license_scan(spark, docs, none):
 def test_toxicity_on_held_out_texts(spark, docs, none):
     import random
 
-    rng = random.Random(2)
+    rng = Random(2)
     calm, rude = [f"calm{i}" for i in range(300)], ["scoundrelly", "scoundrelish", "dunderhead", "dunderheaded", "vermin"]
     made = []
     for i in range(900):
