@@ -223,6 +223,26 @@ def test_passages_that_an_earlier_text_quotes_in_part(spark):
     assert {i: (r.class_id, r.n_passages, r.n_repeated_words) for i, r in got.items()} == {3 * k + t: (3 * k + 1, 1, 50) for k in range(60) for t in (1, 2)}
 
 
+def test_every_place_and_the_whole_of_a_passage(spark):
+    rng = Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    short, more = fresh(60), fresh(60)
+    texts = [fresh(30) + short + fresh(90) + short + fresh(70) + short, *(fresh(20 + i) + short + more + fresh(60) for i in range(12)), fresh(10) + short + fresh(10)]
+    seen = defaultdict(set)
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            seen[tuple(t[p : p + 50])].add((i, p))
+    want = defaultdict(set)
+    for places in seen.values():
+        if len({i for i, _ in places}) > 1:
+            for i, p in places:
+                want[i] |= set(range(p, p + 50))
+    made = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(made, "doc_id long, text string").coalesce(1)).collect()}
+    assert {i: r.n_repeated_words for i, r in got.items()} == {i: len(w) for i, w in want.items()}
+    assert got[0].n_passages == 3 and {r.class_id for r in got.values()} == {0}
+
+
 def test_near_passages_with_one_wide_gap():
     rng = np.random.default_rng(4)
     one = rng.integers(0, 2**64, 96, dtype=np.uint64)
