@@ -212,6 +212,14 @@ def test_repeated_passages(docs, odd, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_each_document_has_a_class(docs, odd, none):
+    got = repeated_passages(docs, every=True).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in odd)
+    found = {r.doc_id for r in repeated_passages(docs).collect()}
+    assert all((r.class_id, r.n_representative_links, r.n_passages, r.n_repeated_words) == (r.doc_id, 0, 0, 0) for r in got if r.doc_id not in found)
+    assert repeated_passages(none, every=True).count() == 0
+
+
 def test_passages_that_an_earlier_text_quotes_in_part(spark):
     rng, made = Random(6), []
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
