@@ -212,6 +212,16 @@ def test_repeated_passages(docs, odd, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_passages_of_few_different_shingles_end():
+    rng = np.random.default_rng(9)
+    for kinds in (3, 8, 30, 90):
+        for _ in range(200):
+            a, b = (rng.integers(0, kinds, rng.integers(5, 120), dtype=np.uint64) for _ in range(2))
+            for x, y, s, t in passages(a, b, 6, 80, 3):
+                one, other = set(a[x : y + 1].tolist()), set(b[s : t + 1].tolist())
+                assert y - x + 1 >= 6 and 100 * len(one & other) >= 80 * len(one | other)
+
+
 def test_each_document_has_a_class(docs, odd, none):
     got = repeated_passages(docs, every=True).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in odd)
