@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +19,21 @@ def valid_vectors(df: DataFrame, column: str, size: int) -> DataFrame:
 def top_k(queries: DataFrame, rows: DataFrame, k: int, *, most_queries: int = 20_000, block: int = 2_000) -> DataFrame:
     """(query_id, row_id, score, rank): the exact k nearest by cosine, ties by row_id.
 
-    ``queries`` is a stated set: it is measured, and beyond ``most_queries`` refused, as each block of
-    queries meets all rows. A block is one row with its vectors; what leaves a row's
+    ``queries`` is a stated set: it is measured, and beyond ``most_queries`` dealt by hash into groups of about so many, each of which meets
+    all rows in turn. A block is one row with its vectors; what leaves a row's
     task is cut to k a query before the shuffle (the window keeps only the first k of a partition).
     """
+    if most_queries < 1:
+        raise ValueError(f"groups of {most_queries} queries can't meet any row")
     n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; at most {most_queries} can meet all rows: split them")
-    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(max(1, n // block))).alias("b"), F.struct(F.col("query_id"), F.col("vector").cast("array<double>").alias("vector")).alias("q")).groupBy("b").agg(F.collect_list("q").alias("qs"))
+    groups = max(1, -(-n // most_queries))
+    group = F.pmod(F.xxhash64("query_id", F.lit("group")), F.lit(groups))
+    parts = [_top_k(queries.where(group == g) if groups > 1 else queries, rows, k, max(1, n // groups // block)) for g in range(groups)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _top_k(queries: DataFrame, rows: DataFrame, k: int, n_blocks: int) -> DataFrame:
+    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b"), F.struct(F.col("query_id"), F.col("vector").cast("array<double>").alias("vector")).alias("q")).groupBy("b").agg(F.collect_list("q").alias("qs"))
     pairs = rows.select("row_id", F.col("vector").cast("array<double>").alias("vector")).join(F.broadcast(blocks)).select("row_id", "vector", F.explode("qs").alias("q"))
     scored = pairs.select("q.query_id", "row_id", scoring.cosine(F.col("q.vector"), F.col("vector")).alias("score")).where("score is not null")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))

@@ -124,6 +124,13 @@ def test_too_many_queries_are_refused(spark):
         matching.top_k(v, v.withColumnRenamed("query_id", "row_id"), 1, most_queries=0)
 
 
+def test_many_queries_meet_all_rows_in_groups(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)] + [(None, [1.0, 2.0, 3.0])], "query_id long, vector array<double>")
+    rows = v.where("query_id is not null").withColumnRenamed("query_id", "row_id")
+    want, got = (sorted(map(str, matching.top_k(v, rows, 3, most_queries=n).collect())) for n in (100, 7))
+    assert got == want and len(got) == 41 * 3
+
+
 def test_job_files(spark, tmp_path):
     (tmp_path / "a" / "matches").mkdir(parents=True)
     (tmp_path / "a" / "acme.json").write_text('[{"title": "T", "job_url": "u", "extra": 1}, {"title": "S"}]')
