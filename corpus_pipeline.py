@@ -24,28 +24,51 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the model, trained on the labelled texts among them, doesn't find toxic.
+
+    Null and empty texts stay; null and repeated keys are rows like any other; without labels nothing goes; no rows give no rows. Columns
+    beside those of documents are dropped.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     return severity(docs, model, keep=COLUMNS[1:]).where("not toxic").select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that share a doc_id and are kept all stay; a dropped key's rows go."""
-    found = near_dedup(docs, size=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies: of its smallest doc_id, null last, and of rows that share that the first.
+
+    Rows are told apart by their number, not by doc_id, so other texts under a dropped row's key stay. Texts without words are
+    no copies of each other: all stay. No rows give no rows. Columns beside those of documents are dropped.
+    """
+    numbered = Scratch(spark, "near-copies").put(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    found = Scratch(spark, "near-copies-found").put(near_dedup(numbered, size=5, percent=80, extra=("row",)).select("doc_id", "group_row", "row"))
+    first = found.where("group_row is not null").groupBy("group_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
+    stays = found.where("group_row is null").select("row").unionByName(first.select("first.row"))
+    return numbered.join(stays.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no window of ten words of a benchmark item.
+
+    Null and empty texts stay; null and repeated keys are rows like any other; without items nothing goes; no rows give no rows. Columns
+    beside those of documents are dropped.
+    """
     return contaminated(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS[1:]).where("not contaminated").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document taken k times is k rows with its doc_id."""
-    numbered = Scratch(spark, "mixed").put(docs.withColumn("row", F.monotonically_increasing_id()))
+    """A document taken k times is k rows with its doc_id.
+
+    Null and empty texts weigh nothing and stay once; a null source is the last; rows that share a key are taken each for itself; no rows
+    give no rows. Columns beside those of documents are dropped.
+    """
+    numbered = Scratch(spark, "mixed").put(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
     taken = mix(numbered, extra=("row",)).where("copies > 0").select("row", "copies")
     return numbered.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's ids as written and read back: doc_id, start, n_tokens, ids_crc32. A null text is empty and has the end id alone;
+    a null key comes first, copies of a document one after the other; no rows give no rows."""
     return tokens_written_and_read(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, local mode) a temporary folder is taken and set.
+    Only where it is unset and the master is local (tests) a temporary folder is taken and set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tallgrass-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -172,8 +175,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from one pass of prefix sums."""
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[raw] * _power_table(BASE, len(raw)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power_table(_INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64) * _ODD)
+#: Spans beyond this many bytes are hashed and compared one by one, by C code; the others eight bytes a round, all at once.
+LONG = 128
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:-8] = raw
+    return np.ndarray((len(raw) + 1,), np.uint64, padded, strides=(1,))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes. Each eight bytes are mixed in by a bijection that is no polynomial, so equally
+    long spans of up to eight bytes never collide and no pattern of letters makes longer ones do."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * _ODD + np.uint64(seed * 2 + 1))
+    words, at, on = eights(raw), starts, None
+    for k in range(0, min(int(sizes.max(initial=0)), LONG), 8):
+        if k:
+            on = np.flatnonzero((sizes > k) & (sizes <= LONG)) if k == 8 else on[sizes[on] > k]
+            out[on] = mix(out[on] * _ODD ^ words[starts[on] + k] & _MASKS[np.minimum(sizes[on] - k, 8)])
+        else:
+            out = mix(out ^ words[at] & _MASKS[np.minimum(sizes, 8)])
+    if len(far := np.flatnonzero(sizes > LONG)):
+        held, key = memoryview(np.ascontiguousarray(raw)), seed.to_bytes(8, "little")
+        whole = [hashlib.blake2b(held[a:b], digest_size=8, key=key).digest() for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+        out[far] = np.frombuffer(b"".join(whole), np.uint64)
+    return out
+
+
+def equal_spans(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``sizes`` bytes of ``a`` from a_at on are those of ``b`` from b_at on, byte by byte."""
+    out = np.ones(len(sizes), bool)
+    if not len(sizes):
+        return out
+    x, y = eights(a), eights(b)
+    on = np.flatnonzero(sizes <= LONG)
+    for k in range(0, min(int(sizes.max()), LONG), 8):
+        on = on[sizes[on] > k]
+        out[on] &= (x[a_at[on] + k] ^ y[b_at[on] + k]) & _MASKS[np.minimum(sizes[on] - k, 8)] == 0
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = np.array_equal(a[a_at[i] : a_at[i] + sizes[i]], b[b_at[i] : b_at[i] + sizes[i]])
+    return out

@@ -1,8 +1,9 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
-Texts are normalised to lower-cased words with one space between; every window of ten words of a
-benchmark item is one pattern, and each text is scanned once. Hits are mapped back to words and to byte
-offsets of the original text.
+Texts are normalised to lower-cased words, and words to numbers. Of each window of ten words of a benchmark item the
+rarest run of five is a key; one automaton holds the keys, spelt in digits of word numbers, and each text is
+scanned once. Around a key that is found the text is held against the windows the key stands for. Hits
+are mapped back to words and to byte offsets of the original text.
 """
 
 from __future__ import annotations
@@ -15,32 +16,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, slices, spans, utf8, words
+from .common import ALNUM, Scratch, mix, slices, spans, utf8, words
 
+KEY = 5
+_DIGIT = 6  # bits of a digit; each place of a word's spelling has digits of its own, so that no key is found between words
 OUT = "key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
 
 
-def windows(item: bytes, size: int) -> set[tuple[bytes, ...]]:
-    """Windows of ``size`` words; of fewer words, but not none, all of them as one."""
-    found = words(item)
-    return {tuple(found[i : i + size]) for i in range(max(1, len(found) - size + 1))} if found else set()
+class Machine:
+    """The automaton over items (name, text): keys of ``KEY`` words that every window of ``size`` words holds one of.
 
+    A key's value is a list of (context, offset, items): the words of the windows it stands for, where in them it is, and the
+    numbers of the items that have them. An item of fewer words, but not none, is one window and one key.
+    """
 
-def automaton(items: list[tuple[str, bytes]], size: int):
-    """Patterns ' w1 .. wn ' with the numbers of their items and their word count as value; None without patterns."""
-    import ahocorasick
-
-    owners: dict[tuple[bytes, ...], set[int]] = {}
-    for i, (_, text) in enumerate(items):
-        for w in windows(text, size):
-            owners.setdefault(w, set()).add(i)
-    made = ahocorasick.Automaton()
-    for w, of in owners.items():
-        made.add_word((b" " + b" ".join(w) + b" ").decode("latin-1"), (len(w), sorted(of)))
-    if not owners:
-        return None
-    made.make_automaton()
-    return made
+    def __init__(self, items: list[tuple[str, bytes]], size: int):
+        import ahocorasick
+
+        self.size, self.key = size, min(KEY, size)
+        number: dict[bytes, int] = {}
+        texts = [[number.setdefault(w, len(number) + 1) for w in words(body)] for _, body in items]
+        self.width = max(1, -(-len(number).bit_length() // _DIGIT))
+        mask = (1 << _DIGIT) - 1
+        self.spelt = {w: "".join(chr(1 + (k << _DIGIT) + (n >> _DIGIT * k & mask)) for k in range(self.width)) for w, n in number.items()}
+        self.unknown = "\0" * self.width
+        spelling = ["", *self.spelt.values()]
+        owners: dict[str, dict[tuple[str, int], set[int]]] = {}
+        for i, (found, keys) in enumerate(zip(texts, self.chosen(texts), strict=True)):
+            spelt = "".join([spelling[n] for n in found])
+            for at, n, low, high in keys:
+                key = spelt[at * self.width : (at + n) * self.width]
+                owners.setdefault(key, {}).setdefault((spelt[low * self.width : high * self.width], at - low), set()).add(i)
+        self.machine = ahocorasick.Automaton()
+        for key, of in owners.items():
+            self.machine.add_word(key, (len(key) // self.width, [(context, offset, tuple(numbers)) for (context, offset), numbers in of.items()]))
+        self.empty = not owners
+        if owners:
+            self.machine.make_automaton()
+
+    def chosen(self, texts: list[list[int]]) -> Iterator[list[tuple[int, int, int, int]]]:
+        """For each item its keys: place, words, and from where to where the windows go that it stands for."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat = np.array([n for t in texts for n in t], np.uint64)
+        runs = np.zeros(max(0, len(flat) - self.key + 1), np.uint64)
+        for j in range(self.key):
+            runs = mix(runs ^ flat[j : len(flat) - self.key + 1 + j])
+        _, back, times = np.unique(runs, return_inverse=True, return_counts=True)
+        rare = times[back]
+        begins = np.cumsum(sizes) - sizes
+        for begin, n in zip(begins.tolist(), sizes.tolist(), strict=True):
+            if n < self.size:
+                yield [(0, n, 0, n)] if n else []
+                continue
+            span = self.size - self.key + 1
+            order = np.lexsort((runs[begin : begin + n - self.key + 1], rare[begin : begin + n - self.key + 1]))
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            least = np.lib.stride_tricks.sliding_window_view(rank, span).argmin(axis=1) + np.arange(n - self.size + 1)
+            keys, first, count = np.unique(least, return_index=True, return_counts=True)
+            yield [(k, self.key, f, f + c - 1 + self.size) for k, f, c in zip(keys.tolist(), first.tolist(), count.tolist(), strict=True)]
+
+    def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Word ranges that windows cover, merged, and the numbers of the items hit."""
+        if self.empty or not found:
+            return [], set()
+        get, width, unknown = self.spelt.get, self.width, self.unknown
+        flat = "".join([get(w, unknown) for w in found])
+        hits, of = [], set()
+        for end, (n, contexts) in self.machine.iter(flat):
+            at = (end + 1) // width - n
+            for context, offset, numbers in contexts:
+                # how far the text goes along with the context to both sides of the key
+                left = right = 0
+                while left < offset and at - left and flat[(at - left - 1) * width : (at - left) * width] == context[(offset - left - 1) * width : (offset - left) * width]:
+                    left += 1
+                rest = min(len(context) // width - offset, len(found) - at) - n
+                while right < rest and flat[(at + n + right) * width : (at + n + right + 1) * width] == context[(offset + n + right) * width : (offset + n + right + 1) * width]:
+                    right += 1
+                if left + n + right >= min(self.size, len(context) // width):
+                    hits.append((at - left, at + n + right))
+                    of.update(numbers)
+        return merged(hits), of
 
 
 def merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -53,24 +109,10 @@ def merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: bytes, found: list[bytes], machine) -> tuple[list[tuple[int, int]], set[int]]:
-    """Word ranges that patterns cover, merged, and the numbers of the items hit."""
-    flat = (b" " + b" ".join(found) + b" ").decode("latin-1")
-    hits, of = [], set()
-    word_at = None
-    for end, (n, owners) in machine.iter(flat):
-        if word_at is None:  # rank of each space: word k ends at space k + 1
-            word_at = np.cumsum(np.frombuffer(flat.encode("latin-1"), np.uint8) == 0x20)
-        last = int(word_at[end]) - 1
-        hits.append((last - n, last))
-        of.update(owners)
-    return merged(hits), of
-
-
-_machines: dict[str, object] = {}
+_machines: dict[str, Machine] = {}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", part_bytes: int = 32 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", part_words: int = 1 << 19, keep: tuple[str, ...] = ()) -> DataFrame:
     """For each row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated, the list of items and
     the ``spans`` hit, as byte offsets into the UTF-8 text; and the columns of ``keep``.
 
@@ -78,14 +120,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, tex
     for each input row; other columns are ignored. Items with a null key, a null text or no words are never
     hit; items that share a key count once. Without items, or without documents, nothing is hit.
 
-    The benchmark is measured first. Parts of at most ``part_bytes`` of it are shipped, one automaton each; a
-    larger benchmark has more parts, over each of which the documents are scanned in turn, so
-    neither an automaton nor what is sent grows with either table.
+    The benchmark is measured first and cut by its items' hashes into parts of about ``part_words`` words (one longer item stays whole),
+    so neither an automaton nor what is sent grows with either table. A word makes about five nodes of the automaton, never
+    more than ``KEY`` times its digits. Parts run one after the other, each reading the table that the one before has written.
     """
     spark = docs.sparkSession
-    items = benchmark.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("string").alias("item"), utf8(item_text).alias("body"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("body") + F.octet_length("item")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // part_bytes))
+    items = benchmark.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("string").alias("item"), utf8(item_text).alias("body"), F.col(item_text).alias("body_text"))
+    n_words = items.agg(F.coalesce(F.sum(F.regexp_count("body_text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
+    parts = max(1, -(-n_words // part_words))
+    scratch = Scratch(spark, "decontamination")
     rows = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     kept = [f"keep_{c}" for c in keep]
     kept_schema = "".join(f", `keep_{c}` {dict(docs.dtypes)[c]}" for c in keep)
@@ -98,13 +141,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, tex
         def scanned(batches: Iterator[pa.RecordBatch], sent=sent, name=name, last=last) -> Iterator[pa.RecordBatch]:
             if name not in _machines:
                 _machines.clear()
-                _machines[name] = automaton(sent.value, window)
+                _machines[name] = Machine(sent.value, window)
             machine, ids = _machines[name], [x for x, _ in sent.value]
             for b in slices(batches, "text"):
                 made = _scanned(b, machine, ids, last)
                 yield pa.RecordBatch.from_arrays([*made.columns, *(b.column(c) for c in kept)], [*made.schema.names, *kept])
 
-        rows = rows.mapInArrow(scanned, (OUT if last else "key long, text binary, items array<string>, spans array<struct<start:long,end:long>>") + kept_schema)
+        before, rows = rows, rows.mapInArrow(scanned, (OUT if last else "key long, text binary, items array<string>, spans array<struct<start:long,end:long>>") + kept_schema)
+        if not last:
+            rows = scratch.put(rows)
+            if part:
+                scratch.drop(before)
     return rows.select(F.col("key").alias(key), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
@@ -113,7 +160,7 @@ def _scanned(b: pa.RecordBatch, machine, ids: list[str], last: bool) -> pa.Recor
     out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")}
     for raw, before, ranges in zip(b.column("text").to_pylist(), b.column("items").to_pylist(), b.column("spans").to_pylist(), strict=True):
         found = words(raw)
-        hits, of = scan(raw, found, machine) if machine is not None and found else ([], set())
+        hits, of = machine.scan(found)
         if ranges:
             hits = merged(hits + [(x["start"], x["end"]) for x in ranges])
         names = sorted({*before, *(ids[i] for i in of)})

@@ -35,7 +35,8 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", fir
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     body = collapsed(text)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.sha2(body, 256).alias("sha"), F.lit(0).cast("long").alias("group"), body.cast("binary").alias("rest"))
+    # numbers of rows are drawn once, so that no task that runs again draws others
+    rows = base = scratch.put(docs.select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.sha2(body, 256).alias("sha"), F.lit(0).cast("long").alias("group"), body.cast("binary").alias("rest")))
     done: list[DataFrame] = []
     width = first
     while True:
@@ -52,7 +53,7 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", fir
                 over.alias("over"), F.when(~over, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
             )
         )
-        scratch.drop(shared)
+        scratch.drop(shared, *([base] if width == first else []))
         done.append(step.where("over").select("id", "keep", "n", "kept", "sha"))
         rows = step.where("not over").select("id", "row", "sha", "group", "rest")
         if rows.isEmpty():

@@ -1,15 +1,17 @@
 """License scans by ordered signature rules.
 
 One Aho-Corasick pass finds the rules' keywords; a rule's regex runs only where its keyword is. Detections are
-taken in the order of priority, then length; one that lies inside a detection taken before is suppressed.
+taken in the order of priority, then length, place and label; one that lies inside a detection taken before is suppressed.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,20 +78,29 @@ def detections(text: str) -> list[tuple[int, int, str, int]]:
         found += [(m.start(), m.end(), label, priority) for m in regex.finditer(text) if m.end() > m.start()]
     found.sort(key=lambda d: (-d[3], d[0] - d[1], d[0], d[2]))
     taken: list[tuple[int, int, str, int]] = []
+    # starts and ends, both ascending, of the taken ones that no other taken one holds
+    starts: list[int] = []
+    ends: list[int] = []
     for d in found:
-        if not any(t[0] <= d[0] and d[1] <= t[1] for t in taken):
-            taken.append(d)
+        at = bisect.bisect_right(starts, d[0])
+        if at and ends[at - 1] >= d[1]:
+            continue
+        taken.append(d)
+        low, high = bisect.bisect_left(starts, d[0]), bisect.bisect_right(ends, d[1])
+        starts[low:high], ends[low:high] = [d[0]], [d[1]]
     return sorted(taken)
 
 
 def base_places(found: list[bytes]) -> list[tuple[int, str]]:
     """(word, label) of each place of a base phrase, in order."""
     flat = b" " + b" ".join(found) + b" "
-    out = []
+    out, blanks = [], None
     for phrase, label in BASE.items():
         at = flat.find(needle := b" " + phrase.encode() + b" ")
         while at != -1:
-            out.append((flat.count(b" ", 0, at), label))
+            if blanks is None:
+                blanks = np.flatnonzero(np.frombuffer(flat, np.uint8) == 0x20)
+            out.append((int(np.searchsorted(blanks, at)), label))
             at = flat.find(needle, at + 1)
     return sorted(out)
 
@@ -100,7 +111,8 @@ def license_scan(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
     Base phrases are found as consecutive words; rules add detections with character offsets into the text. ``labels`` are both kinds'
     labels, ``score`` is the highest priority found over 9 (a base phrase counts as 6), 0 without any. A null or empty
     text has no words; null and repeated keys are kept, one output row for each input row; other columns are
-    ignored; no rows give no rows. A text is scanned whole, in one task; no rows move.
+    ignored; no rows give no rows. Of detections of one priority the longer is taken first, then the earlier, then the label that
+    sorts first. A text of any length is scanned whole, in one task; no rows move.
     """
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("priority", pa.int32())]))
     columns = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("detections", span)]

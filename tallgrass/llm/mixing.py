@@ -66,12 +66,14 @@ def solve_rates(hist: DataFrame, targets: DataFrame, scratch: Scratch, most: int
     """
     state = scratch.put(targets.where("total > 0 and not full").select("key", "target", (F.col("total") / F.col("docs")).alias("mean"), F.lit(0.0).alias("x"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("met")))
     hist = hist.where("size > 0")
+    # decimal sums are the same in any order, so reruns agree to the last digit
+    total = lambda x: F.sum(x.cast("decimal(28,8)")).cast("double")
     for _ in range(steps):
         c = F.col("size") / F.col("mean")
         z = F.col("x") * c
         free = z < F.lit(float(np.log(most)))
         mass = F.col("n") * F.col("size") * F.when(free, F.exp(F.least(z, F.lit(50.0)))).otherwise(float(most))
-        sums = hist.join(state.where("not met"), "key").groupBy("key").agg(F.sum(mass).alias("g"), F.sum(F.when(free, mass * c).otherwise(0.0)).alias("h"))
+        sums = hist.join(state.where("not met"), "key").groupBy("key").agg(total(mass).alias("g"), total(F.when(free, mass * c).otherwise(0.0)).alias("h"))
         g, h, t, x = F.col("g"), F.col("h"), F.col("target"), F.col("x")
         moved = state.join(sums, "key", "left").select(
             "key", "target", "mean", x, (F.col("met") | (F.abs(g - t) <= near * t)).alias("met"), g, h,
@@ -132,7 +134,8 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: int = 3,
 
     # blocks of a class, and how many of its rows get one copy more than the others
     block = F.pmod(F.col("draw"), F.greatest(F.lit(1), F.ceil(F.col("n") / 4000)).cast("long")).alias("block")
-    placed = rows.join(classes, ["key", "size"]).withColumn("block", block)
+    # classes grow with the sizes there are: they are joined, never sent to all tasks
+    placed = rows.join(classes.hint("merge"), ["key", "size"]).withColumn("block", block)
     from pyspark.sql import Window
 
     counts = placed.groupBy("key", "size", "block", "n", "copies").agg(F.count(F.lit(1)).alias("m"))
@@ -141,7 +144,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: int = 3,
     share = counts.select("key", "size", "block", F.least(F.greatest(over - before, F.lit(0)), F.col("m")).alias("more"))
     share = share.where("more > 0")
     first = F.row_number().over(Window.partitionBy("key", "size", "block").orderBy("draw", "id"))
-    ranked = placed.withColumn("nth", first).join(share, ["key", "size", "block"], "left")
+    ranked = placed.withColumn("nth", first).join(share.hint("merge"), ["key", "size", "block"], "left")
     got = ranked.withColumn("copies", (F.expr("copies div n") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0)).cast("long"))
     got = got.join(targets.select("key", F.col("total").alias("source_size"), "target"), "key")
     return got.select(F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"extra_{c}").alias(c) for c in extra])

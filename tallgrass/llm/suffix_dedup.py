@@ -18,32 +18,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _VALUES, BASE, Scratch, _power_table, data, mix, slices, utf8
+from .common import Scratch, data, mix, slices, utf8
 
 GRAM = 32
 CELL = 8
 _POS = np.uint64(31)
-_BASE2 = 0xBF58476D1CE4E5B9
-_VALUES2 = np.random.default_rng(23).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+_VALUES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class Prints:
-    """Fingerprints of any run of bytes of some texts, from prefix sums."""
+def rolled(flat: np.ndarray) -> np.ndarray:
+    """A rolling hash of the GRAM bytes from each place on. It places triggers only: no two strings are equal by it."""
+    total, have = _VALUES[flat], 1
+    while have < GRAM:  # the sum over 2 * have bytes is the one over have bytes and the one behind it
+        total = total[:-have] + total[have:] * np.uint64(pow(_BASE, have, 1 << 64))
+        have *= 2
+    return mix(total)
 
-    def __init__(self, flat: np.ndarray, base: int = BASE, values: np.ndarray = _VALUES):
-        self.sums = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum(values[flat] * _power_table(base, len(flat)), out=self.sums[1:])
-        self.back = _power_table(pow(base, -1, 1 << 64), len(flat) + 1)
 
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64) * _ODD)
+def prints(held: memoryview, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit fingerprints of runs of bytes, as two numbers: xxHash's 128-bit hash, which mixes by multiplication and
+    folding and follows no polynomial, so no pattern of bytes makes different runs agree."""
+    digest = xxhash.xxh3_128_digest
+    made = np.frombuffer(b"".join([digest(held[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]), np.int64)
+    return made[::2], made[1::2]
 
 
-def parse(flat: np.ndarray, at: np.ndarray, first: Prints, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def parse(flat: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each phrase: first and last start, place and hash of its trigger. Texts shorter than ``length`` have none."""
     span = length - GRAM + 1
     n = len(flat)
@@ -51,7 +57,7 @@ def parse(flat: np.ndarray, at: np.ndarray, first: Prints, length: int) -> tuple
     if n < length:
         return none, none, none, np.zeros(0, np.uint64)
     places = np.arange(n - GRAM + 1)
-    grams = first(places, places + GRAM)
+    grams = rolled(flat)
     # hash and place in one number: the least one is the leftmost least hash
     least = (grams >> _POS << _POS) | places.astype(np.uint64)
     have = 1
@@ -85,10 +91,8 @@ def _batch(**columns) -> pa.RecordBatch:
 
 def _parsed(b: pa.RecordBatch, length: int):
     flat, at = data(b.column("text"))
-    first = Prints(flat)
-    low, high, trigger, gram = parse(flat, at, first, length)
-    text = np.searchsorted(at, low, side="right") - 1
-    return flat, at, first, low, high, trigger, gram, text
+    low, high, trigger, gram = parse(flat, at, length)
+    return memoryview(np.ascontiguousarray(flat)), at, low, high, trigger, gram, np.searchsorted(at, low, side="right") - 1
 
 
 def repeated_bytes(docs: DataFrame, *, length: int = 200, text: str = "text", key: str = "doc_id", texts: bool = False) -> DataFrame:
@@ -110,14 +114,14 @@ def repeated_bytes(docs: DataFrame, *, length: int = 200, text: str = "text", ke
 
     def triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            yield _batch(gram=_parsed(b, length)[6])
+            yield _batch(gram=_parsed(b, length)[5])
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            flat, at, first, low, high, _, gram, of = _parsed(b, length)
-            second = Prints(flat, _BASE2, _VALUES2)
+            held, at, low, high, _, gram, of = _parsed(b, length)
+            k1, k2 = prints(held, low, high + length)
             rows = b.column("row").to_numpy()
-            yield _batch(gram=gram, k1=first(low, high + length), k2=second(low, high + length), row=rows[of], low=(low - at[of]).astype(np.int32), n=(high - low + 1).astype(np.int32))
+            yield _batch(gram=gram, k1=k1, k2=k2, row=rows[of], low=(low - at[of]).astype(np.int32), n=(high - low + 1).astype(np.int32))
 
     # parse and dictionary, without the phrases whose trigger is the only one of its kind
     shared = scratch.put(source.mapInArrow(triggers, "gram long").groupBy("gram").count().where("count > 1").select("gram"))
@@ -135,8 +139,7 @@ def repeated_bytes(docs: DataFrame, *, length: int = 200, text: str = "text", ke
     # cells of starts: what all their strings share must repeat, what they cover together may settle them
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            flat, at, first, low, high, trigger, _, of = _parsed(b, length)
-            second = Prints(flat, _BASE2, _VALUES2)
+            bytes_, at, low, high, trigger, _, of = _parsed(b, length)
             rows = b.column("row").to_numpy()
             wanted = np.array(sorted(at[i] + m["low"] for i, found in enumerate(b.column("marks").to_pylist()) for m in found if m["kind"] == 1), np.int64)
             keep = np.isin(low, wanted)
@@ -147,13 +150,14 @@ def repeated_bytes(docs: DataFrame, *, length: int = 200, text: str = "text", ke
             c = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + near[which]
             end = trigger[which] - CELL * c  # the last start of the cell
             begin = end - CELL + 1
-            core = first(end, begin + length) + mix(c.astype(np.uint64) + np.uint64(1))
+            core = prints(bytes_, end, begin + length)[0].view(np.uint64) + mix(c.astype(np.uint64) + np.uint64(1))
             whole = (begin >= at[of[which]]) & (end + length <= at[of[which] + 1])
             x, y = np.where(whole, begin, 0), np.where(whole, end + length, 0)
             lo, hi = np.maximum(low[which], begin), np.minimum(high[which], end)
             own = mix(rows[of[which]].astype(np.uint64) * _ODD + lo.astype(np.uint64))
-            u1 = np.where(whole, first(x, y), own)
-            u2 = np.where(whole, second(x, y), mix(own))
+            u1, u2 = prints(bytes_, x, y)
+            u1 = np.where(whole, u1.view(np.uint64), own)
+            u2 = np.where(whole, u2.view(np.uint64), mix(own))
             yield _batch(core=core, u1=u1, u2=u2, row=rows[of[which]], low=(lo - at[of[which]]).astype(np.int32), n=(hi - lo + 1).astype(np.int32))
 
     found = scratch.put(held.mapInArrow(cells, "core long, u1 long, u2 long, row long, low int, n int"))
@@ -169,7 +173,6 @@ def repeated_bytes(docs: DataFrame, *, length: int = 200, text: str = "text", ke
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             flat, at = data(b.column("text"))
-            first, second = Prints(flat), Prints(flat, _BASE2, _VALUES2)
             of, p = [], []
             for i, found in enumerate(b.column("cells").to_pylist()):
                 for m in found:
@@ -177,12 +180,14 @@ def repeated_bytes(docs: DataFrame, *, length: int = 200, text: str = "text", ke
                     of.append(np.full(m["n"], i))
             p = np.concatenate(p) if p else np.zeros(0, np.int64)
             of = np.concatenate(of) if of else np.zeros(0, np.int64)
-            yield _batch(w1=first(p, p + length), w2=second(p, p + length), row=b.column("row").to_numpy()[of], low=(p - at[of]).astype(np.int32))
+            w1, w2 = prints(memoryview(np.ascontiguousarray(flat)), p, p + length)
+            yield _batch(w1=w1, w2=w2, row=b.column("row").to_numpy()[of], low=(p - at[of]).astype(np.int32))
 
     windows = scratch.put(held.select("row", "text").join(fine.hint("merge"), "row").mapInArrow(strings, "w1 long, w2 long, row long, low int"))
     same = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     single = windows.join(same.hint("merge"), ["w1", "w2"]).select("row", "low", F.lit(1).alias("n"))
-    more = settled.unionByName(single).groupBy("row").agg(F.collect_list(F.struct("low", "n")).alias("more"))
+    more = scratch.put(settled.unionByName(single).groupBy("row").agg(F.collect_list(F.struct("low", "n")).alias("more")))
+    scratch.drop(live, classes, windows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):

@@ -39,7 +39,7 @@ class Lengths:
         out: list[int] = []
         start = held = 0
         for i, x in enumerate(texts):
-            held += len(x)
+            held += len(x) if x.isascii() else len(x.encode())
             if held >= self.batch_bytes or i + 1 == len(texts):
                 out += map(len, self.library.encode_batch_fast(texts[start : i + 1], add_special_tokens=False))
                 start, held = i + 1, 0

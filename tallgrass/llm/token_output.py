@@ -6,6 +6,7 @@ Spark reaches holds them, Spark's commit protocol guards them, and a lost execut
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -21,19 +22,20 @@ from .piece_table import PieceTable, plain
 from .simple8b import read_chunk, write_chunk
 
 CHUNK_IDS = 1 << 18
+#: The word pattern of the public CLIP tokenizer, a fixed value.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: before: ids of the shard's chunks before this one.
 CHUNKS = "shard int, before long, n_ids long, data binary"
 
 
 class Ids:
-    """Ids of texts as little-endian 32-bit bytes.
+    """Ids of texts as little-endian 32-bit numbers.
 
-    Texts are cut at single spaces and line ends, which a word tokenizer that drops white space never joins across;
-    each distinct piece is encoded once as long as a bounded table holds it. A text that is all Latin-1 and without
+    For a word tokenizer of the pattern ``WORDS`` texts are cut at white space and before marks, which no word crosses, and each
+    distinct piece is encoded once as long as a bounded table holds it. A text that is all Latin-1 and without
     what may begin a special token is lower-cased first, which changes nothing for a tokenizer that lower-cases by
-    character; other texts go to the library whole. Pieces that are one word of Latin letters, with
-    a full stop or comma after it or not, go to the library by thousands in one text, where the tokens that end a word
-    tell them apart.
+    character; other texts, and all texts of other tokenizers, go to the library whole. Pieces of letters go to the
+    library by thousands in one text, where the tokens that end a word tell them apart.
     """
 
     def __init__(self, path: str):
@@ -42,16 +44,19 @@ class Ids:
 
         self.library = Tokenizer.from_file(path)
         self.table = PieceTable(self.encoded)
+        made = json.loads(self.library.to_str())
+        steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+        patterns = [x.get("pattern", {}).get("Regex") for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and patterns[:1] == [WORDS] and made["model"].get("end_of_word_suffix") == "</w>"
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = dict(zip((".", ",", ""), self.singly([".", ",", ""]), strict=True))
 
     def singly(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(pieces), 4096) for e in self.library.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
 
     def together(self, words: list[str]) -> list[bytes]:
-        """Words of letters below U+0250, each of which is one word to the library."""
+        """Words each of which is one word to the library."""
         out: list[bytes] = []
         for i in range(0, len(words), 8192):
             part = words[i : i + 8192]
@@ -67,25 +72,24 @@ class Ids:
         return out
 
     def encoded(self, pieces: list[str]) -> list[bytes]:
-        tails, stems, other = {}, {}, []
-        for x in pieces:
-            stem = x[:-1] if x[-1:] in (".", ",") else x
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem):
-                tails[x] = stem
-                stems[stem] = None
-            else:
-                other.append(x)
-        known = dict(zip(stems, self.together(list(stems)), strict=True))
-        rest = dict(zip(other, self.singly(other), strict=True))
-        marks = self.marks
-        return [known[stem] + marks[x[len(stem) :]] if (stem := tails.get(x)) is not None else rest[x] for x in pieces]
+        simple = [x.isalpha() and (x.isascii() or max(x) < "\u0250" and "\u0130" not in x) for x in pieces]
+        if all(simple):
+            return self.together(pieces)
+        easy = iter(self.together([x for x, s in zip(pieces, simple, strict=True) if s]))
+        other = iter(self.singly([x for x, s in zip(pieces, simple, strict=True) if not s]))
+        return [next(easy) if s else next(other) for s in simple]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.frombuffer(x, "<u4") for x in self.singly(texts.to_pylist())]
         flat, at = data(texts)
         simple = plain(flat, at)
         if simple.all():
-            ids, sizes = self.table.ids(flat, at)
-            return np.split(ids, np.cumsum(sizes)[:-1])
+            ids, sizes, wrong = self.table.ids(flat, at)
+            out = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in wrong.tolist():
+                out[i] = np.frombuffer(self.singly([texts[i].as_py()])[0], "<u4")
+            return out
         easy = texts.filter(pa.array(simple))
         done = iter(self(easy) if len(easy) else [])
         hard = iter(self.singly(texts.filter(pa.array(~simple)).to_pylist()))

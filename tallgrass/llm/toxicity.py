@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, data, slices, span_hashes, spans, utf8
+from .common import ALNUM, Scratch, data, slices, span_hashes, spans, utf8
 
 BITS = 18
 #: Bytes of word beginnings that are features beside the whole word.
@@ -129,11 +129,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(-x, -40, 40)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, *, text: str = "text", key: str = "doc_id") -> Sample:
-    """Features of at most ``most`` labelled texts, those whose keys have the smallest hashes."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, most_features: int, *, text: str = "text", key: str = "doc_id") -> Sample:
+    """Features of at most ``most`` labelled texts, those whose keys have the smallest hashes, and of these as many as have
+    ``most_features`` features together. Both are cut on executors; only the sample comes to the driver."""
     wanted = labels.where("toxic is not null").select(F.col(key).cast("long").alias("key"), (F.col("toxic") > 0).cast("int").alias("toxic")).where("key is not null")
     wanted = wanted.groupBy("key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key", F.lit(5)), "key").limit(most)
     rows = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text")).join(F.broadcast(wanted), "key")
+    # of a key's texts the least one, however many there are
+    rows = rows.groupBy("key", "toxic").agg(F.min("text").alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -145,17 +148,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, *, text: str
                 share.append((n / max(1, j - i)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("toxic"), pa.array(index, pa.binary()), pa.array(share, pa.binary())], ["key", "toxic", "index", "share"])
 
-    got = rows.mapInArrow(sparse, "key long, toxic int, index binary, share binary").toArrow()
-    got = got.sort_by([("key", "ascending"), ("index", "ascending")]).slice(0, most)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    made = scratch.put(rows.mapInArrow(sparse, "key long, toxic int, index binary, share binary").withColumn("draw", F.xxhash64("key", F.lit(5))))
+    before = F.sum(F.octet_length("index") / 4).over(Window.orderBy("draw", "key"))
+    last = made.select("draw", "key", "index").select("draw", "key", before.alias("held")).where(F.col("held") <= most_features).agg(F.max(F.struct("draw", "key")).alias("last")).first()["last"]
+    if last is not None:
+        made = made.where((F.col("draw") < last["draw"]) | (F.col("draw") == last["draw"]) & (F.col("key") <= last["key"]))
+    got = made.limit(0 if last is None else most).drop("draw").toArrow().sort_by([("key", "ascending")])
     index = [np.frombuffer(x, np.uint32) for x in got["index"].to_pylist()]
     share = [np.frombuffer(x, np.float32) for x in got["share"].to_pylist()]
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return Sample(np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int64), join(index, np.uint32), join(share, np.float32), np.array(got["toxic"].to_pylist(), np.int64))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, text: str = "text", key: str = "doc_id") -> Ordinal:
-    """The model of a bounded sample: at most ``most`` labelled texts. Without toxic texts in it, a model that finds none."""
-    s = labelled_sample(docs, labels, most, text=text, key=key)
+def train(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, most_features: int = 6_000_000, text: str = "text", key: str = "doc_id") -> Ordinal:
+    """The model of a bounded sample: at most ``most`` labelled texts with ``most_features`` features together.
+
+    Labels that are null, or of a null key or one without a text, count for nothing; of a key's labels the greatest holds, of its texts the
+    least. Null and empty texts have no features; a text of any length counts by the shares of its words. Without toxic texts
+    in the sample, or without others, the model finds none.
+    """
+    s = labelled_sample(docs, labels, most, most_features, text=text, key=key)
     if not (s.toxic == 1).any() or not (s.toxic == 0).any():
         return Ordinal(np.zeros(1 << BITS, np.float32), np.array([30.0, 31.0, 32.0]))
     return fit(s, grades(s))

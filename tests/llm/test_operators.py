@@ -11,8 +11,8 @@ import public_tokenizers
 import pytest
 from tallgrass.llm import simple8b
 from tallgrass.llm.components import components
-from tallgrass.llm.common import Scratch
-from tallgrass.llm.decontaminate import contaminated
+from tallgrass.llm.common import Scratch, equal_spans, span_hashes
+from tallgrass.llm.decontaminate import Machine, contaminated
 from tallgrass.llm.exact_dedup import exact_dedup
 from tallgrass.llm.licenses import detections, license_scan, rules
 from tallgrass.llm.minhash_dedup import least_matches, near_dedup
@@ -20,7 +20,7 @@ from tallgrass.llm.mixing import mix
 from tallgrass.llm.substring_dedup import Texts, agreed, aligned, compact_windows, passages, repeated_passages
 from tallgrass.llm.suffix_dedup import repeated_bytes
 from tallgrass.llm.token_counts import Lengths, token_counts
-from tallgrass.llm.token_output import read_tokens, tokens_written_and_read, write_tokens
+from tallgrass.llm.token_output import Ids, read_tokens, tokens_written_and_read, write_tokens
 from tallgrass.llm.toxicity import severity, train
 
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -73,13 +73,118 @@ def test_decontamination(spark, docs, odd, none):
         want[(i, len(w), len(hit), len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), bool(hit))] += 1
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert rows(contaminated(docs, bench).select(columns)) == want
-    assert rows(contaminated(docs, bench, part_bytes=200).select(columns)) == want
+    assert rows(contaminated(docs, bench, part_words=200).select(columns)) == want
     found = contaminated(docs, bench, keep=("text",)).where("doc_id = 9").first()
     assert [found["text"].encode()[s["start"] : s["end"]] for s in found["spans"]] == [b"one two"]
     assert contaminated(none, bench).count() == 0
     assert contaminated(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def thue_morse(n: int, flip: bool = False) -> str:
+    """Letters on which any polynomial modulo a power of two agrees with its complement."""
+    return "".join("ab"[(i.bit_count() + flip) & 1] for i in range(n))
+
+
+def test_hashes_and_equality_of_spans():
+    for n in (8, 64, 128, 1024, 2048, 4096):
+        raw = np.frombuffer((thue_morse(n) + thue_morse(n, True) + thue_morse(n)).encode(), np.uint8)
+        starts = np.array([0, n, 2 * n])
+        hashes = span_hashes(raw, starts, starts + n)
+        assert hashes[0] == hashes[2] != hashes[1] and span_hashes(raw, starts, starts + n, 1)[0] != hashes[0]
+        assert equal_spans(raw, starts, raw, starts[[2, 2, 0]], np.full(3, n)).tolist() == [True, False, True]
+    rng = np.random.default_rng(5)
+    raw = rng.integers(0, 2, 4000, dtype=np.uint8)
+    starts = rng.integers(0, 3800, 20000)
+    ends = starts + rng.integers(0, 14, 20000)
+    by_bytes = {}
+    for h, a, b in zip(span_hashes(raw, starts, ends).tolist(), starts.tolist(), ends.tolist(), strict=True):
+        assert by_bytes.setdefault(raw[a:b].tobytes(), h) == h
+    assert len(set(by_bytes.values())) == len(by_bytes)
+    other = rng.integers(0, 3800, 20000)
+    same = equal_spans(raw, starts, raw, other, ends - starts)
+    assert same.tolist() == [raw[a:b].tobytes() == raw[c : c + b - a].tobytes() for a, b, c in zip(starts, ends, other, strict=True)]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_letters_in_patterns_are_no_copies(spark, n):
+    """One-word texts that polynomial hashes take for each other: near copies, tokens, passages, repeated bytes."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    one, other = thue_morse(n), thue_morse(n, True)
+    made = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string").coalesce(1)
+    for size, letters in ((4, False), (5, True)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(made, size=size, letters_only=letters).collect()}
+        assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    want = {k: zlib.crc32(np.array([*library.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes()) for k, x in ((1, one), (2, other), (3, one))}
+    assert {r.doc_id: r.ids_crc32 for r in tokens_written_and_read(made, path).collect()} == want
+    # a passage around it is the only thing that two texts share
+    rng = random.Random(4)
+    fresh = lambda k: " ".join(f"w{rng.randrange(10**9)}" for _ in range(k))
+    texts = [(k, " ".join([fresh(30), *([x] * 60), fresh(30)])) for k, x in ((1, one), (2, other))]
+    assert repeated_passages(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).count() == 0
+    # blocks of 128 letters and their complements, between letters that occur once
+    parts = [thue_morse(128, f) + thue_morse(128, not f) for f in (False, True)]
+    texts = [(k, fresh(6) + x + fresh(6)) for k, x in enumerate(parts)] + [(2, fresh(9) + parts[0] + fresh(4))]
+    check_repeated_bytes(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), texts)
+
+
+def test_a_hash_that_two_pieces_share_gives_each_its_own_ids(monkeypatch):
+    """With one hash for all long pieces ids still are the library's."""
+    import pyarrow as pa
+    from tallgrass.llm import piece_table
+
+    monkeypatch.setattr(piece_table, "span_hashes", lambda flat, a, b: np.zeros(len(a), np.uint64))
+    texts = ["anythingatall whatsoever small", "whatsoever anythingatall", "small words", "somethingelse"]
+    ids = Ids(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(2):
+        got = ids(pa.array(texts))
+        assert [g.tolist() for g in got] == [ids.library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_ids_of_odd_letters_and_marks():
+    import pyarrow as pa
+
+    rng = Random(12)
+    letters = ["a", "b", "s", "t", "re", "ll", "'", "'", ".", ",", "$", "-", "1", "22", "\u00b2", "\u00d7", "\u00f7", "\u00a3", "\u00a0", "\x1c", "\x00", "\u00e9", "\u00c9", "\u00df", "\u00aa", "\t", "\n", "\r", " ", " ", "<", "|", "I", "\u0130", "e\u0301", "\u4f60", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters[: 30 if k % 3 else None]) for _ in range(rng.randrange(60))) for k in range(4000)]
+    ids = Ids(public_tokenizers.path("word_bpe_49k.json"))
+    assert ids.by_words
+    for i in range(0, len(texts), 500):
+        for x, got in zip(texts[i : i + 500], ids(pa.array(texts[i : i + 500])), strict=True):
+            assert got.tolist() == ids.library.encode(x, add_special_tokens=False).ids, x
+
+
+def test_machine_against_windows():
+    """Random items of few different words: all that windows cover, whatever keys stand for them; and what an automaton holds."""
+    rng = Random(7)
+    for kinds, size in ((2, 10), (4, 10), (30, 10), (3, 3), (5, 6)):
+        for _ in range(60):
+            items = [(str(i), " ".join(f"w{rng.randrange(kinds)}" for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 30, 60]))).encode()) for i in range(6)]
+            text = [f"w{rng.randrange(kinds + 1)}".encode() for _ in range(150)]
+            for _, x in items:
+                if x and rng.random() < 0.5:
+                    at = rng.randrange(100)
+                    text[at : at + 25] = x.split()[rng.randrange(3) :][:25]
+            hit, of = set(), set()
+            for i, (_, x) in enumerate(items):
+                w = x.split()
+                for k in range(max(0, min(1, len(w)), len(w) - size + 1)):
+                    win = w[k : k + size]
+                    for at in range(len(text) - len(win) + 1):
+                        if text[at : at + len(win)] == win:
+                            hit |= set(range(at, at + len(win)))
+                            of.add(i)
+            ranges, found = Machine(items, size).scan(text)
+            assert {k for a, b in ranges for k in range(a, b)} == hit and found == of
+    body = " ".join(f"w{rng.randrange(50_000)}" for _ in range(100_000)).encode()
+    stats = Machine([("1", body)], 10).machine.get_stats()
+    assert stats["nodes_count"] < 6 * 100_000 and stats["total_size"] < 40 * len(body)
+
+
 @pytest.mark.parametrize("size,letters", [(4, False), (5, True)])
 def test_near_dedup(docs, odd, none, size, letters):
     sets = []
@@ -146,8 +251,8 @@ def test_components(spark):
     assert components(links.limit(0), Scratch(spark, "t")).count() == 0
 
 
-def test_repeated_bytes(docs, odd, none):
-    raws = [(i, (x or "").encode()) for i, x, *_ in odd]
+def check_repeated_bytes(docs, texts):
+    raws = [(i, (x or "").encode()) for i, x, *_ in texts]
     seen = Counter(r[p : p + 200] for _, r in raws for p in range(len(r) - 199))
     want = Counter()
     for i, r in raws:
@@ -160,6 +265,10 @@ def test_repeated_bytes(docs, odd, none):
         left = np.frombuffer(r, np.uint8)[~gone].tobytes()
         want[(i, len(r), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())] += 1
     assert rows(repeated_bytes(docs)) == want
+
+
+def test_repeated_bytes(docs, odd, none):
+    check_repeated_bytes(docs, odd)
     kept = repeated_bytes(docs, texts=True).where("doc_id = 14").first()
     assert kept["n_removed"] == 900 and bytes(kept["kept_text"]) == b""
     assert repeated_bytes(none).count() == 0
