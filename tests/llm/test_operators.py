@@ -274,6 +274,27 @@ def test_repeated_bytes(docs, odd, none):
     assert repeated_bytes(none).count() == 0
 
 
+def test_repeated_bytes_of_common_triggers(spark, monkeypatch):
+    """Parts of one or two phrases, and every trigger salted; letters that are zero bytes, and many versions of one text."""
+    from tallgrass.llm import suffix_dedup
+
+    rng = Random(12)
+    base = [rng.choice(("a", "b", "\x00")) for _ in range(900)]
+    texts = []
+    for k in range(24):
+        made = list(base)
+        for _ in range(rng.randrange(4)):
+            made[rng.randrange(900)] = rng.choice(("c", "\x00", "d"))
+        texts.append((k, "".join(made[rng.randrange(300) :])))
+    texts += [(30, "\x00" * 450), (31, "x" + "\x00" * 230), (32, "a\x00" * 150)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    check_repeated_bytes(df, texts)
+    for part in (1, 2):
+        monkeypatch.setattr(suffix_dedup, "PART", part)
+        monkeypatch.setattr(suffix_dedup, "HOT", 10**9)
+        check_repeated_bytes(df, texts)
+
+
 def test_compact_windows_cover_each_passage_once():
     rng = np.random.default_rng(1)
     for n, width in ((30, 5), (64, 8), (7, 7), (6, 7)):
