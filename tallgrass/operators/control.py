@@ -55,3 +55,25 @@ def fill_absent(row: DataFrame, details: DataFrame, key: str, fields: dict[str,
     j = row.join(details, key, "left")
     own = F.col("fields")
     return j.select(key, *[F.when(F.map_contains_key(own, k), F.element_at(own, k)).otherwise(F.col(c)).alias(k) for k, c in fields.items()])
+
+
+def live_or_snapshot(own: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """``shown`` of each row: what is live, else its own snapshot; a row that isn't kept is only shown while something is live."""
+    j = own.join(live.select(key, "live"), key, "left")
+    return j.where(F.col("kept") | F.col("live").isNotNull()).withColumn("shown", F.coalesce("live", "snapshot"))
+
+
+def claimed_roles(*claims: Column) -> Column:
+    """The roles of all claims of a token, each once, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*claims))))
+
+
+def recommendation_status(matches: DataFrame, key: str) -> DataFrame:
+    """(key, baseline, reranked, status) of each candidate: re-ranked matches count before baseline ones."""
+    n = matches.groupBy(key).agg(F.count_if("is_baseline").alias("baseline"), F.count_if("is_reranked").alias("reranked"))
+    return n.withColumn("status", F.when(F.col("reranked") > 0, "llm_ready").when(F.col("baseline") > 0, "baseline_ready").otherwise("no_matches"))
+
+
+def backfill_totals(rows: DataFrame) -> DataFrame:
+    """(target, rows, names) over the parts (target, name, rows) of a backfill; names in order, each once."""
+    return rows.groupBy("target").agg(F.sum("rows").alias("rows"), F.array_sort(F.collect_set("name")).alias("names"))

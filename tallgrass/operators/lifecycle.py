@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.skills import unique_skills
+from ..functions.urls import canonical
+
 
 def upsert(current: DataFrame, batch: DataFrame, keys: list[str], *, once: tuple[str, ...] = ("created_at",), keep_if_null: tuple[str, ...] = ()) -> DataFrame:
     """Rows of either side; a batch row wins but for the columns of ``once`` (first insert) and null values of ``keep_if_null``."""
@@ -178,3 +181,113 @@ def last_entries(old: Column, new: Column, most: int = 10) -> Column:
     """The last ``most`` items of two lists one after the other."""
     both = F.concat(F.coalesce(old, F.array().cast("array<string>")), new)
     return F.slice(both, F.greatest(F.lit(1), F.size(both) - most + 1), F.lit(most))
+
+
+# States of a job whose details have to be read again.
+FAILED = ("detail_extract_failed", "parse_failed", "validation_failed", "inactive", "missing_in_latest_scrape")
+
+
+def jobs_by_url(jobs: DataFrame, columns: tuple[str, ...] = ("canonical_job_url", "job_url", "source_url", "apply_url"), order: str = "job_id") -> DataFrame:
+    """(url_key, job_id) of each canonical URL in any of the columns; of jobs that share one the greatest counts."""
+    keys = jobs.select(F.col(order).alias("job_id"), F.explode(F.array(*[canonical(F.col(c)) for c in columns if c in jobs.columns])).alias("url_key"))
+    return keys.where("coalesce(url_key, '') <> ''").groupBy("url_key").agg(F.max("job_id").alias("job_id"))
+
+
+def plan_details(discovered: DataFrame, jobs: DataFrame, now: Column, *, refresh_days: int = 14, force: bool = False) -> DataFrame:
+    """(url, job_id, extract, is_new, due, broken) of each discovered URL in canonical form.
+
+    A known job's details are read again if it is inactive, failed or incomplete (``broken``), or its last deep look is over ``refresh_days`` old (``due``); a URL may be
+    both. jobs: job_id, its URLs, is_active, freshness_status, title, company, last_deep_scraped_at, last_seen_at.
+    """
+    by_url = jobs_by_url(jobs)
+    urls = discovered.select(canonical(F.col("url")).alias("url_key")).where("coalesce(url_key, '') <> ''").distinct()
+    j = urls.join(by_url, "url_key", "left").join(jobs.drop("url_key"), "job_id", "left")
+    known, none = F.col("job_id").isNotNull(), F.lit("")
+    deep = F.coalesce("last_deep_scraped_at", "last_seen_at")
+    due = known & F.coalesce(deep < now - F.make_dt_interval(days=F.lit(max(1, refresh_days))), F.lit(False))
+    empty = lambda c: F.trim(F.coalesce(c, none)) == ""
+    broken = known & (F.col("is_active").eqNullSafe(False) | F.lower(F.coalesce("freshness_status", none)).isin(*FAILED) | empty("title") | empty("company"))
+    return j.select(F.col("url_key").alias("url"), "job_id", (~known | due | broken | F.lit(force)).alias("extract"), (~known).alias("is_new"), due.alias("due"), broken.alias("broken"))
+
+
+def plan_summary(plan: DataFrame) -> DataFrame:
+    """Counts of a plan by reason; a URL that is due and broken counts in both."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    return plan.agg(F.count(F.lit(1)).alias("discovered"), n(F.col("extract"), "to_extract"), n(F.col("is_new"), "new"), n(F.col("due"), "due"), n(F.col("broken"), "broken"), n(~F.col("extract"), "skipped"))
+
+
+def backfilled(jobs: DataFrame, discovered: DataFrame, target: str, now: Column, **limits) -> DataFrame:
+    """Jobs after a backfill: what was discovered is active again first, then what was not counts a miss. jobs: as in ``reconcile``, with
+    inactive_reason and last_seen_at; discovered: target, url_key."""
+    reset = reset_seen(jobs, discovered, now)
+    again = reset.join(jobs.select("job_id", target), "job_id")
+    return reconcile(again, discovered, target, now, **limits).join(reset.select("job_id", "last_seen_at"), "job_id")
+
+
+def resume_upsert(current: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(profiles, history) after a batch of parsed profiles: one row a résumé, first seen once, and a history row for each new content.
+
+    current: resume_id, sha256, content_hash, first_seen_at, last_seen_at, is_active; batch: sha256, resume_id (or null), content_hash. A row without
+    a hash is dropped; without an id it gets one from its hash. Of rows of one résumé the greatest content hash counts.
+    """
+    rows = batch.where("coalesce(sha256, '') <> ''").withColumn("resume_id", F.coalesce("resume_id", F.concat(F.lit("res_"), F.left("sha256", F.lit(24)))))
+    rows = rows.groupBy("resume_id").agg(F.max("content_hash").alias("content_hash"), F.max_by("sha256", "content_hash").alias("sha256"))
+    new = rows.select("resume_id", "sha256", "content_hash", now.alias("first_seen_at"), now.alias("last_seen_at"), F.lit(True).alias("is_active"))
+    changed = rows.join(current.select("resume_id", F.col("content_hash").alias("old")), "resume_id", "left").where(~F.col("content_hash").eqNullSafe(F.col("old")))
+    told = changed.select(F.concat(F.lit("reshist_"), "resume_id", F.lit("_"), F.left("content_hash", F.lit(16))).alias("history_id"), "resume_id", "sha256", "content_hash")
+    return upsert(current, new, ["resume_id"], once=("first_seen_at",)), told
+
+
+def tower_upsert(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """Candidate towers after a batch: skills from the first list that has any, a text for them where there is none, older lists emptied.
+
+    batch: candidate_id, skills, primary_skills, secondary_skills, raw_skills, skills_text, content_hash.
+    """
+    empty = F.array().cast("array<string>")
+    some = lambda *c: unique_skills(F.concat(*[F.coalesce(F.col(x), empty) for x in c]))
+    own, older, raw = some("skills"), some("primary_skills", "secondary_skills"), some("raw_skills")
+    made = batch.withColumn("chosen", F.when(F.size(own) > 0, own).when(F.size(older) > 0, older).otherwise(raw))
+    text = F.when((F.trim(F.coalesce("skills_text", F.lit(""))) == "") & (F.size("chosen") > 0), F.concat(F.lit("Skills: "), F.array_join("chosen", ", "))).otherwise(F.coalesce("skills_text", F.lit("")))
+    return upsert(current, made.select("candidate_id", F.col("chosen").alias("skills"), empty.alias("primary_skills"), empty.alias("secondary_skills"), text.alias("skills_text"), "content_hash"), ["candidate_id"], once=())
+
+
+def roles_resynced(old: DataFrame, given: DataFrame) -> DataFrame:
+    """Roles (user_id, role) after a source gave its own again: those it gave before go, those given by hand stay."""
+    return old.where("not sourced").select("user_id", "role").unionByName(given.select("user_id", "role")).distinct()
+
+
+def one_primary(links: DataFrame, key: str, *order: Column) -> DataFrame:
+    """Links with ``is_primary``: for each key the first one in an order, and no other."""
+    return links.withColumn("is_primary", F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1)
+
+
+def refresh_next(requests: DataFrame, most: int) -> DataFrame:
+    """Pending requests by priority, then those that have waited longest; at most 1 to 100."""
+    return requests.where("status = 'pending'").orderBy(F.desc_nulls_last("priority"), F.asc_nulls_first("updated_at"), "request_id").limit(max(1, min(most, 100)))
+
+
+def newest(rows: DataFrame, at: str, key: str, asked: int, most: int = 500) -> DataFrame:
+    """The newest rows, 1 to ``most`` of them."""
+    return rows.orderBy(F.desc(at), F.desc(key)).limit(max(1, min(most, asked)))
+
+
+def url_jobs(found: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(url_key, job_id) of found keys against any key of a job (job_id, keys); of jobs that share one the greatest counts."""
+    known = keyed.select("job_id", F.explode("keys").alias("url_key")).groupBy("url_key").agg(F.max("job_id").alias("job_id"))
+    return found.select("url_key").distinct().join(known, "url_key", "left")
+
+
+def shares(rows: DataFrame, key: str, users: str = "users") -> DataFrame:
+    """(key, users, ambiguous): how many rows an identity has; more than one is an error for whoever looks it up."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias(users)).withColumn("ambiguous", F.col(users) > 1)
+
+
+def json_merged(left: Column, right: Column) -> Column:
+    """A shallow merge of two maps: the right one's keys win."""
+    return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
+
+
+def chunked(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
+    """Adds ``chunk``: rows of a key in an order, ``size`` to a chunk, from 0."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("chunk", F.floor((n - 1) / size).cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import control, lifecycle
+from ..operators import control, lifecycle, matching, portals, profiles
 from .registry import query, stamp
 
 NOW = "2001-08-02 00:00:00"
@@ -28,8 +28,9 @@ def jn_feedback(t):
 
 @query("jn_left_snapshot", "select c_custkey, coalesce(o_orderpriority, concat('snapshot ', c_mktsegment)) as shown from customer left join (select * from orders where o_orderstatus = 'P') o on o_custkey = c_custkey where c_acctbal > 0 or o_orderkey is not null")
 def jn_left_snapshot(t):
-    rows = t.customer.join(t.orders.where("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return rows.where("c_acctbal > 0 or o_orderkey is not null").select("c_custkey", F.coalesce("o_orderpriority", F.concat(F.lit("snapshot "), "c_mktsegment")).alias("shown"))
+    live = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("live"))
+    own = t.customer.select("c_custkey", F.concat(F.lit("snapshot "), "c_mktsegment").alias("snapshot"), (F.col("c_acctbal") > 0).alias("kept"))
+    return control.live_or_snapshot(own, live, "c_custkey").select("c_custkey", "shown")
 
 
 @query("jn_semi", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
@@ -46,9 +47,8 @@ def jn_anti(t):
 select d.u as url_key, m.job as job_id from d left join m on d.u = m.u""")
 def jn_url_any(t):
     """Discovered URLs against any of a job's URLs; of jobs that share one the greatest id counts."""
-    keys = t.orders.select("o_orderkey", F.explode(F.array(F.concat(F.lit("u"), F.col("o_orderkey") % 500), F.concat(F.lit("u"), F.col("o_custkey") % 500))).alias("url_key"))
-    known = keys.groupBy("url_key").agg(F.max("o_orderkey").alias("job_id"))
-    return t.events.select(F.concat(F.lit("u"), F.col("event_id") % 700).alias("url_key")).distinct().join(known, "url_key", "left")
+    keys = F.array(F.concat(F.lit("u"), F.col("o_orderkey") % 500), F.concat(F.lit("u"), F.col("o_custkey") % 500))
+    return lifecycle.url_jobs(t.events.select(F.concat(F.lit("u"), F.col("event_id") % 700).alias("url_key")), t.orders.select(F.col("o_orderkey").alias("job_id"), keys.alias("keys")))
 
 
 @query("jn_left_hide", "select o_orderkey from orders left join (select l_orderkey, l_linestatus as status from lineitem where l_returnflag = 'R' and l_linenumber = 1) a on l_orderkey = o_orderkey where coalesce(status, '') not in ('F')")
@@ -75,13 +75,13 @@ def _roles(t):
 @query("jn_cross_grant", "select role, r_name as permission from (values ('admin'), ('recruiter'), ('candidate')) v(role), region where role = 'admin'")
 def jn_cross_grant(t):
     """One role times all permissions: both are short fixed lists."""
-    return _roles(t).where("role = 'admin'").join(F.broadcast(t.region)).select("role", F.col("r_name").alias("permission"))
+    return portals.granted(_roles(t), t.region.select(F.col("r_name").alias("permission")), "admin")
 
 
 @query("jn_theta_grant", "select role, n_name as permission from (values ('admin', 1), ('recruiter', 2), ('candidate', 3)) v(role, priority) join nation on n_regionkey >= priority and n_nationkey in (1, 3, 5, 7, 9)")
 def jn_theta_grant(t):
     chosen = t.nation.where(F.col("n_nationkey").isin(1, 3, 5, 7, 9))
-    return chosen.join(F.broadcast(_roles(t)), F.col("n_regionkey") >= F.col("priority")).select("role", F.col("n_name").alias("permission"))
+    return portals.granted_where(_roles(t), chosen.withColumn("permission", F.col("n_name")), F.col("n_regionkey") >= F.col("priority"))
 
 
 @query("jn_values_roles", "select c_custkey, role, priority from customer join (values ('admin', 1, 'BUILDING'), ('recruiter', 2, 'MACHINERY'), ('candidate', 3, 'HOUSEHOLD')) v(role, priority, seg) on seg = c_mktsegment")
@@ -138,8 +138,7 @@ def jn_priority_fallback(t):
 
 @query("jn_ambiguous", "select lower(c_mktsegment) as email, count(*) as users, count(*) > 1 as ambiguous from customer group by 1")
 def jn_ambiguous(t):
-    n = t.customer.groupBy(F.lower("c_mktsegment").alias("email")).agg(F.count(F.lit(1)).alias("users"))
-    return n.withColumn("ambiguous", F.col("users") > 1)
+    return lifecycle.shares(t.customer.select(F.lower("c_mktsegment").alias("email")), "email")
 
 
 STATUS_SQL = "case l_linenumber % 5 when 0 then 'queued' when 1 then 'submitted' when 2 then 'skipped' when 3 then 'failed' else 'running' end"
@@ -171,20 +170,20 @@ def ag_portal_health(t):
 
 @query("ag_backfill_totals", "select n_regionkey as target, cast(sum(k) as bigint) as rows, array_to_string(list_sort(list_distinct(list(n_name))), ',') as names from (select n_regionkey, n_name, count(*) as k from nation join customer on c_nationkey = n_nationkey group by 1, 2) group by 1")
 def ag_backfill_totals(t):
-    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("k"))
-    return rows.groupBy(F.col("n_regionkey").alias("target")).agg(F.sum("k").alias("rows"), F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("names"))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("target"), F.col("n_name").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    return control.backfill_totals(rows).select("target", "rows", F.array_join("names", ",").alias("names"))
 
 
 @query("ag_text_stats", "select lang, count(text) as n, min(length(text)) as shortest, max(length(text)) as longest, cast(sum(length(text)) as bigint) as chars from documents group by 1")
 def ag_text_stats(t):
-    n = F.length("text")
-    return t.documents.groupBy("lang").agg(F.count("text").alias("n"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.sum(n).alias("chars"))
+    n, shortest, longest, mean = matching.length_stats(F.col("text"))
+    got = t.documents.groupBy("lang").agg(n, shortest, longest, mean)
+    return got.select("lang", "n", "shortest", "longest", F.round(F.col("mean") * F.col("n")).cast("long").alias("chars"))
 
 
 @query("ag_recommend_status", "select user_id, count(*) filter (where event_type = 'view') as baseline, count(*) filter (where event_type = 'click') as reranked, case when count(*) filter (where event_type = 'click') > 0 then 'llm_ready' when count(*) filter (where event_type = 'view') > 0 then 'baseline_ready' else 'no_matches' end as status from events group by 1")
 def ag_recommend_status(t):
-    n = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("baseline"), F.count_if(F.col("event_type") == "click").alias("reranked"))
-    return n.withColumn("status", F.when(F.col("reranked") > 0, "llm_ready").when(F.col("baseline") > 0, "baseline_ready").otherwise("no_matches"))
+    return control.recommendation_status(t.events.select("user_id", F.col("event_type") == "view", F.col("event_type") == "click").toDF("user_id", "is_baseline", "is_reranked"), "user_id")
 
 
 @query("flt_due", f"select s_suppkey from supplier where s_suppkey % 4 <> 0 and s_suppkey % 3 <> 0 and timestamp '{NOW}' - to_days(s_suppkey::int % 5 - 2) <= timestamp '{NOW}' and (s_suppkey % 5 = 0 or timestamp '{NOW}' - to_hours(s_suppkey % 7 - 3) <= timestamp '{NOW}')")
@@ -204,7 +203,8 @@ def flt_stale(t):
 @query("flt_profile_state", "select c_custkey, case when c_custkey % 7 = 0 then 'blocked' when c_custkey % 5 = 0 then 'conflict' when c_custkey % 3 = 0 then 'processing' when c_acctbal < 0 then 'incomplete' else 'ready' end as state from customer")
 def flt_profile_state(t):
     k = F.col("c_custkey")
-    return t.customer.select("c_custkey", F.when(k % 7 == 0, "blocked").when(k % 5 == 0, "conflict").when(k % 3 == 0, "processing").when(F.col("c_acctbal") < 0, "incomplete").otherwise("ready").alias("state"))
+    got = profiles.state(k % 7 != 0, k % 5 != 0, F.when(k % 3 == 0, "queued"), F.when(F.col("c_acctbal") < 0, "incomplete"), F.lit(False))
+    return t.customer.select("c_custkey", got.state.alias("state"))
 
 
 @query("flt_log_sample", "select event_id from events where event_type = 'error' or value > 40 or event_id % 10 = 0")
@@ -222,7 +222,7 @@ def flt_patch_errors(t):
 
 @query("srt_newest_n", "select event_id from events order by ts desc, event_id desc limit 100")
 def srt_newest_n(t):
-    return t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(max(1, min(500, 100))).select("event_id")
+    return lifecycle.newest(t.events, "ts", "event_id", 100).select("event_id")
 
 
 @query("srt_latest_active", "select o_custkey, max(o_orderkey) as o_orderkey from (select *, rank() over (partition by o_custkey order by o_orderdate desc) as r from orders where o_orderstatus <> 'P') where r = 1 group by 1")
@@ -252,16 +252,13 @@ def set_operations(t):
 
 @query("chunks", "with r as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) as rn from orders) select o_orderkey, cast(floor((rn - 1) / 3) as bigint) as chunk from r")
 def chunks(t):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return t.orders.select("o_orderkey", F.floor((n - 1) / 3).cast("long").alias("chunk"))
+    return lifecycle.chunked(t.orders, "o_custkey", "o_orderkey", 3).select("o_orderkey", "chunk")
 
 
 @query("role_claims", "select c_custkey, array_to_string(list_sort(list_distinct(list_value(lower(c_mktsegment), 'user', case when c_custkey % 2 = 0 then 'admin' else 'user' end))), ',') as roles from customer")
 def role_claims(t):
-    sets = F.array(F.array(F.lower("c_mktsegment"), F.lit("user")), F.array(F.when(F.col("c_custkey") % 2 == 0, "admin").otherwise("user")))
-    return t.customer.select("c_custkey", F.array_join(F.array_sort(F.array_distinct(F.flatten(sets))), ",").alias("roles"))
+    claims = [F.array(F.lower("c_mktsegment"), F.lit("user")), F.array(F.when(F.col("c_custkey") % 2 == 0, "admin").otherwise("user"))]
+    return t.customer.select("c_custkey", F.array_join(control.claimed_roles(*claims), ",").alias("roles"))
 
 
 @query("json_merge", """select event_id, cast(json_extract_string(props, '$.k') as bigint) + event_id % 2 as k, event_type as kind from events""")
@@ -270,8 +267,7 @@ def json_merge(t):
     kind = "map<string,string>"
     left = F.from_json("props", kind)
     right = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("k"), (F.get_json_object("props", "$.k").cast("long") + F.col("event_id") % 2).cast("string"))
-    kept = F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k))
-    merged = F.from_json(F.to_json(F.map_concat(kept, right)), kind)
+    merged = F.from_json(F.to_json(lifecycle.json_merged(left, right)), kind)
     return t.events.select("event_id", F.element_at(merged, "k").cast("long").alias("k"), F.element_at(merged, "kind").alias("kind"))
 
 

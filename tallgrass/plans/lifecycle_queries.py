@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import applications, portals, profiles
 from ..operators import lifecycle as lc
 from .registry import query, stamp
 
@@ -193,17 +194,21 @@ def lif_first_write(t):
 @query("lif_batch_create", "select o_orderkey, case when exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') then 'skipped_duplicate' when o_totalprice < 100000 then 'skipped_manual' else 'queued' end as run_status from orders")
 def lif_batch_create(t):
     """A batch of applications: what was applied for before is skipped, what can't be automated is terminal."""
-    done = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("done", F.lit(True))
-    return t.orders.join(done, "o_orderkey", "left").select("o_orderkey", F.when(F.col("done"), "skipped_duplicate").when(F.col("o_totalprice") < 100000, "skipped_manual").otherwise("queued").alias("run_status"))
+    saved = t.orders.select(F.lit(1).alias("candidate_id"), F.col("o_orderkey").alias("job_id"), F.lit("u").alias("apply_url"))
+    done = t.lineitem.where("l_returnflag = 'R'").select(F.lit(1).alias("candidate_id"), F.col("l_orderkey").alias("job_id"), F.lit("agent_applied").alias("status"), F.lit("u").alias("applied_url")).distinct()
+    runs = applications.batch_runs(saved, done).select(F.col("job_id").alias("o_orderkey"), "run_status")
+    manual = (F.col("run_status") == "queued") & (F.col("o_totalprice") < 100000)
+    return runs.join(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey").select("o_orderkey", F.when(manual, "skipped_manual").otherwise(F.col("run_status")).alias("run_status"))
 
 
 @query("lif_portal_update", "select s_suppkey, case when s_suppkey % 4 = 0 then 'rejected' when s_suppkey % 2 = 1 then 'draft' else 'active' end as status, s_suppkey % 5 + case when s_suppkey % 4 = 0 then 0 else 1 end as version from supplier")
 def lif_portal_update(t):
     """An update holds the version it read; another one rejects it, a changed URL makes a draft."""
     k = F.col("s_suppkey")
-    read = F.when(k % 4 == 0, k % 5 - 1).otherwise(k % 5)
-    ok, moved = read == k % 5, k % 2 == 1
-    return t.supplier.select("s_suppkey", F.when(~ok, "rejected").when(moved, "draft").otherwise("active").alias("status"), (k % 5 + ok.cast("int")).alias("version"))
+    now_ = t.supplier.select(k.alias("portal_id"), F.lit("old").alias("listing_url"), F.lit("active").alias("status"), F.lit(True).alias("is_active"), F.lit("custom").alias("source_platform"), F.lit("never").alias("last_run_status"), (k % 5).alias("version"))
+    patches = t.supplier.select(k.alias("portal_id"), F.when(k % 4 == 0, k % 5 - 1).otherwise(k % 5).alias("read_version"), F.when(k % 2 == 1, "new").alias("new_url"))
+    got = portals.updated(now_, patches)
+    return got.select(F.col("portal_id").alias("s_suppkey"), F.when(F.col("outcome") == "rejected", "rejected").otherwise(F.col("status")).alias("status"), "version")
 
 
 @query("lif_admin_override", "select o_custkey, array_to_string(l[greatest(1, len(l) - 9):], ',') as kept from (select o_custkey, list(cast(o_orderkey as varchar) order by o_orderkey) as l from orders group by 1)")
@@ -216,25 +221,24 @@ def lif_admin_override(t):
 
 @query("lif_queue_guard", "select distinct user_id, cast(floor(value) as bigint) as input from events where event_type = 'view' and not exists (select 1 from events e where e.event_type = 'click' and e.user_id = events.user_id and floor(e.value) = floor(events.value))")
 def lif_queue_guard(t):
-    asked = t.events.select("user_id", F.floor("value").alias("input"), "event_type")
-    open_ = asked.where("event_type = 'click'").select("user_id", "input")
-    return asked.where("event_type = 'view'").select("user_id", "input").distinct().join(open_, ["user_id", "input"], "left_anti")
+    rows = t.events.select(F.col("user_id").alias("candidate_id"), F.floor("value").alias("input_hash"), "event_type")
+    open_ = rows.where("event_type = 'click'").withColumn("status", F.lit("queued"))
+    return profiles.unqueued(rows.where("event_type = 'view'"), open_).toDF("user_id", "input")
 
 
 @query("lif_primary_link", "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1 as is_primary from orders")
 def lif_primary_link(t):
-    first = lc.latest(t.orders, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", F.lit(True).alias("first"))
-    return t.orders.join(first, "o_orderkey", "left").select("o_custkey", "o_orderkey", F.coalesce("first", F.lit(False)).alias("is_primary"))
+    return lc.one_primary(t.orders, "o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "is_primary")
 
 
 @query("lif_role_resync", "select user_id, role from (select c_custkey as user_id, 'manual' as role from customer where c_custkey % 2 = 0 union select distinct user_id, event_type from events)")
 def lif_role_resync(t):
     """Roles from a source replace those it gave before; roles given by hand stay."""
     old = t.customer.select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 2 == 0, "manual").otherwise("stale").alias("role"), (F.col("c_custkey") % 2 == 1).alias("sourced"))
-    return old.where("not sourced").select("user_id", "role").unionByName(t.events.select("user_id", F.col("event_type").alias("role"))).distinct()
+    return lc.roles_resynced(old, t.events.select("user_id", F.col("event_type").alias("role")))
 
 
 @query("lif_finalise_once", "select distinct o_custkey as batch_id from orders where o_custkey % 3 <> 0")
 def lif_finalise_once(t):
     told = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("batch_id"))
-    return t.orders.select(F.col("o_custkey").alias("batch_id")).distinct().join(told, "batch_id", "left_anti")
+    return applications.untold(t.orders.select(F.col("o_custkey").alias("batch_id")), told)

@@ -71,22 +71,22 @@ def grouped_matches(t):
 RERANK_SQL = f"{MATCH_SQL}, r as (select candidate_id, job_id, rank as baseline_rank, (job_id * 37) % 101 as final_score from mt where (candidate_id + job_id) % 5 <> 0), f as (select *, row_number() over (partition by candidate_id order by final_score desc, baseline_rank, job_id) as final_rank from r qualify final_rank <= 5)"
 
 
-def _reranked(t):
-    base = _matches(t).select("candidate_id", "job_id", F.col("rank").alias("baseline_rank"))
+def _reranked(found):
+    base = found.select("candidate_id", "job_id", F.col("rank").alias("baseline_rank"))
     results = base.where((F.col("candidate_id") + F.col("job_id")) % 5 != 0).select("candidate_id", "job_id", (F.col("job_id") * 37 % 101).alias("final_score"))
     return m.rerank(base, results, 5)
 
 
 @query("rank_final", f"with {RERANK_SQL} select candidate_id, job_id, baseline_rank, final_score, final_rank, baseline_rank - final_rank as delta from f")
 def rank_final(t):
-    ranked, _ = _reranked(t)
+    ranked, _ = _reranked(_matches(t))
     long = lambda c: F.col(c).cast("long").alias(c)
     return ranked.select("candidate_id", "job_id", long("baseline_rank"), "final_score", long("final_rank"), (F.col("baseline_rank") - F.col("final_rank")).cast("long").alias("delta"))
 
 
 @query("rank_unscored", f"with {MATCH_SQL} select candidate_id, job_id from mt where (candidate_id + job_id) % 5 = 0")
 def rank_unscored(t):
-    return _reranked(t)[1].select("candidate_id", "job_id")
+    return _reranked(_matches(t))[1].select("candidate_id", "job_id")
 
 
 COMPARE_SQL = f"""{RERANK_SQL}, b as (select candidate_id, job_id, row_number() over (partition by candidate_id order by rank) as r1 from mt qualify r1 <= 5),
@@ -98,8 +98,9 @@ def _compared(t):
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("candidate_id").orderBy("rank"))
-    base = _matches(t).withColumn("n", n).where("n <= 5").select("candidate_id", "job_id", F.col("n").alias("rank"))
-    return m.compare(base, _reranked(t)[0].select("candidate_id", "job_id", F.col("final_rank").alias("rank")))
+    found = _matches(t)
+    base = found.withColumn("n", n).where("n <= 5").select("candidate_id", "job_id", F.col("n").alias("rank"))
+    return m.compare(base, _reranked(found)[0].select("candidate_id", "job_id", F.col("final_rank").alias("rank")))
 
 
 @query("rank_compare", f"with {COMPARE_SQL} select * from cmp")
@@ -109,7 +110,8 @@ def rank_compare(t):
 
 @query("compare_summary", f"with {COMPARE_SQL} select count(*) as candidates, cast(sum(overlap) as bigint) as overlap, cast(sum(new) as bigint) as new, cast(sum(dropped) as bigint) as dropped, cast(round(avg(overlap_percent) * 1000) as bigint) as mean_percent_e3 from cmp")
 def compare_summary(t):
-    return _compared(t).agg(F.count(F.lit(1)).alias("candidates"), F.sum("overlap").alias("overlap"), F.sum("new").alias("new"), F.sum("dropped").alias("dropped"), F.round(F.avg("overlap_percent") * 1000).cast("long").alias("mean_percent_e3"))
+    s = m.compare_summary(_compared(t))
+    return s.select("candidates", "overlap", "new", "dropped", F.round(F.col("mean_percent") * 1000).cast("long").alias("mean_percent_e3"))
 
 
 @query("score_fallback", "select vec_id, cast(round((60 + 35 * greatest(0.0, least(1.0, (vec_id / 500.0::double - 0.45) / 0.27))) * 1e4) as bigint) as score_e4 from embeddings")

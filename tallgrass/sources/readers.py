@@ -44,8 +44,13 @@ def read_jobs(spark: SparkSession, path: str, targets: list[str], latest_only: b
     With ``latest_only`` files that carry a run's stamp are left out.
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
+    return jobs_in(files.select("value", F.col("_metadata.file_path").alias("file")), targets, latest_only)
+
+
+def jobs_in(files: DataFrame, targets: list[str], latest_only: bool = True) -> DataFrame:
+    """As ``read_jobs``, of texts (value, file) that are there."""
     items = F.from_json("value", f"array<struct<{POSTING_FIELDS}>>")
-    rows = files.select(F.col("_metadata.file_path").alias("file"), F.explode(items).alias("job")).select("job.*", "file")
+    rows = files.select("file", F.explode(items).alias("job")).select("job.*", "file")
     rows = rows.where(is_job_file(F.col("file"))).withColumn("stem", file_stem(F.col("file")))
     rows = rows.withColumn("target", target_of(F.col("stem"), targets)).withColumn("run_id", run_of(F.col("stem")))
     if latest_only:
@@ -56,6 +61,10 @@ def read_jobs(spark: SparkSession, path: str, targets: list[str], latest_only: b
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Parsed profiles (*_profile.json) that have an id and a hash."""
     rows = spark.read.schema(PROFILE).option("recursiveFileLookup", "true").option("multiLine", "true").option("pathGlobFilter", "*_profile.json").json(path)
+    return profiles_in(rows)
+
+
+def profiles_in(rows: DataFrame) -> DataFrame:
     return rows.where("coalesce(resume_id, '') <> '' and coalesce(sha256, '') <> ''")
 
 
@@ -68,7 +77,11 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_resumes(spark: SparkSession, path: str, most_bytes: int = 10 << 20, known: DataFrame | None = None) -> DataFrame:
     """(path, sha256, content) of résumé files that aren't empty or too large, but for those whose hash is known."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return resumes_in(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), most_bytes, known)
+
+
+def resumes_in(files: DataFrame, most_bytes: int = 10 << 20, known: DataFrame | None = None) -> DataFrame:
+    """As ``read_resumes``, of files (path, content, length) that are there."""
     kind = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     rows = files.where(kind.isin(*RESUME_FILES) & F.col("length").between(1, most_bytes)).select("path", F.sha2("content", 256).alias("sha256"), "content")
     return rows if known is None else rows.join(known.select("sha256"), "sha256", "left_anti")

@@ -58,3 +58,44 @@ def crawl_artifacts(results: DataFrame, key: str) -> DataFrame:
     """One row for each part of a crawl result that isn't null: html, text, error, screenshot."""
     parts = [F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("body")) for k in ("html", "text", "error", "screenshot") if k in results.columns]
     return results.select(key, F.explode(F.array(*parts)).alias("p")).where("p.body is not null").select(key, "p.kind", "p.body")
+
+
+def write_run_summary(run: DataFrame, path: str, run_id: str, target: str) -> None:
+    """A run's one row about itself, under its own name and as the latest of its target."""
+    for name in (f"target={target}/run={run_id}", f"target={target}/latest"):
+        write_records(run, f"{path}/{name}")
+
+
+def run_summary(discovered: DataFrame, extracted: DataFrame, target: str, run_id: str, seconds: float, attempted: int | None = None) -> DataFrame:
+    """(target, run_id, discovered_urls, attempted_urls, extracted_jobs, seconds); without a number of attempts it is that of extracted jobs."""
+    n = extracted.agg(F.count(F.lit(1)).alias("extracted_jobs"))
+    found = discovered.select("url").distinct().agg(F.count(F.lit(1)).alias("discovered_urls"))
+    both = found.join(F.broadcast(n))
+    tried = F.col("extracted_jobs") if attempted is None else F.lit(attempted).cast("long")
+    return both.select(F.lit(target).alias("target"), F.lit(run_id).alias("run_id"), "discovered_urls", tried.alias("attempted_urls"), "extracted_jobs", F.lit(float(seconds)).alias("seconds"))
+
+
+def write_comparison(rows: DataFrame, candidates: DataFrame, summary: DataFrame, path: str) -> None:
+    """A comparison of rankings: job by job and candidate by candidate as CSV, the totals as JSON."""
+    for name, df in (("jobs", rows), ("candidates", candidates)):
+        df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(f"{path}/{name}")
+    write_records(summary, f"{path}/summary")
+
+
+def write_towers(towers: DataFrame, path: str, run_id: str) -> None:
+    """Candidate towers as JSON lines, under the run and as the latest."""
+    for name in (f"runs/run={run_id}", "latest"):
+        write_records(towers, f"{path}/{name}")
+
+
+def quarantined(payloads: DataFrame, valid: Column, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): rows that pass, and those that don't with their reason and whole payload as JSON."""
+    ok = F.coalesce(valid, F.lit(False))
+    bad = payloads.where(~ok).select(F.to_json(F.struct(*payloads.columns)).alias("payload"), reason.alias("reason"))
+    return payloads.where(ok), bad
+
+
+def event_rows(events: DataFrame, run_id: str) -> DataFrame:
+    """Rows of an event log: when, what, of which run, and the rest as JSON."""
+    rest = [c for c in events.columns if c not in ("ts", "event")]
+    return events.select("ts", "event", F.lit(run_id).alias("run_session_id"), F.to_json(F.struct(*rest)).alias("data"))
