@@ -10,7 +10,7 @@ in others form a lexicon, and toxic texts are cut into three grades by the share
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,17 +61,40 @@ class Sample:
     share: np.ndarray
     toxic: np.ndarray
 
+    def blocks(self, most: int = 1 << 19) -> Iterator[tuple[slice, slice]]:
+        """Rows, and where their features are, a bounded number of features at a time (a longer row is one block)."""
+        first = 0
+        while first < len(self.toxic):
+            last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + most, side="right")) - 1)
+            yield slice(first, last), slice(int(self.starts[first]), int(self.starts[last]))
+            first = last
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(w[self.index] * self.share)])
-        return total[self.starts[1:]] - total[self.starts[:-1]]
+        return self.sums(lambda at: w[self.index[at]] * self.share[at])
+
+    def sums(self, of: Callable[[slice], np.ndarray]) -> np.ndarray:
+        """For each row the sum of what ``of`` says of its features."""
+        out = np.zeros(len(self.toxic))
+        for rows, at in self.blocks():
+            total = np.concatenate([[0.0], np.cumsum(of(at), dtype=np.float64)])
+            ends = self.starts[rows.start : rows.stop + 1] - at.start
+            out[rows] = total[ends[1:]] - total[ends[:-1]]
+        return out
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that hold each feature, among toxic ones and among others."""
+        out = np.zeros((2, 1 << BITS), np.int64)
+        for rows, at in self.blocks():
+            toxic = np.repeat(self.toxic[rows] == 1, np.diff(self.starts[rows.start : rows.stop + 1]))
+            for k in (0, 1):
+                out[k] += np.bincount(self.index[at][toxic == (k == 0)], minlength=1 << BITS)
+        return out[0], out[1]
 
 
 def grades(s: Sample) -> np.ndarray:
     """0 for other texts; 1 to 3 for toxic ones by their share of words that toxic texts use much more."""
     hot = s.toxic == 1
-    row_toxic = np.repeat(hot, np.diff(s.starts))
-    inside = np.bincount(s.index[row_toxic], minlength=1 << BITS)
-    outside = np.bincount(s.index[~row_toxic], minlength=1 << BITS)
+    inside, outside = s.counts()
     odds = (inside + 0.1) / max(1, hot.sum()) / ((outside + 0.1) / max(1, (~hot).sum()))
     load = s.dot(((odds > 8) & (inside >= 3)).astype(float))
     out = np.zeros(len(hot), np.int64)
@@ -84,9 +107,7 @@ def grades(s: Sample) -> np.ndarray:
 def telling(s: Sample, least: int = 3, sure: float = 4.0) -> np.ndarray:
     """Features of at least ``least`` texts whose presence says toxic or not: a log odds ratio of over ``sure`` standard errors."""
     hot = s.toxic == 1
-    row_toxic = np.repeat(hot, np.diff(s.starts))
-    a = np.bincount(s.index[row_toxic], minlength=1 << BITS) + 0.5
-    b = np.bincount(s.index[~row_toxic], minlength=1 << BITS) + 0.5
+    a, b = (n + 0.5 for n in s.counts())
     c, d = hot.sum() + 1 - a, (~hot).sum() + 1 - b
     z = (np.log(a / c) - np.log(b / d)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     return (np.abs(z) > sure) & (a + b >= least + 1)
@@ -98,10 +119,11 @@ def fit(s: Sample, y: np.ndarray, *, steps: int = 300, rate: float = 0.1, decay:
     Toxic texts weigh as much as all others together. The thresholds are a first one and gaps that stay positive.
     """
     chosen = telling(s)
-    keep = chosen[s.index]
-    before = np.concatenate([[0], np.cumsum(keep)])
-    names, index = np.unique(s.index[keep], return_inverse=True)
-    small = Sample(before[s.starts], index, s.share[keep] * SCALE, s.toxic)
+    kept = s.sums(lambda at: chosen[s.index[at]]).astype(np.int64)
+    held = [(s.index[at][k], s.share[at][k]) for _, at in s.blocks() for k in [chosen[s.index[at]]]]
+    every, share = (np.concatenate(x) if x else np.zeros(0, np.float32) for x in (list(c) for c in zip(*held, strict=True)))
+    names, index = np.unique(every, return_inverse=True)
+    small = Sample(np.concatenate([[0], np.cumsum(kept)]), index, share * SCALE, s.toxic)
     rows = np.repeat(np.arange(len(y)), np.diff(small.starts))
     weight = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y == 0).mean()) / len(y)
     x = np.concatenate([np.zeros(len(names)), [1.0, 0.5, 0.5]])
@@ -155,10 +177,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, most_features
     if last is not None:
         made = made.where((F.col("draw") < last["draw"]) | (F.col("draw") == last["draw"]) & (F.col("key") <= last["key"]))
     got = made.limit(0 if last is None else most).drop("draw").toArrow().sort_by([("key", "ascending")])
-    index = [np.frombuffer(x, np.uint32) for x in got["index"].to_pylist()]
-    share = [np.frombuffer(x, np.float32) for x in got["share"].to_pylist()]
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return Sample(np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int64), join(index, np.uint32), join(share, np.float32), np.array(got["toxic"].to_pylist(), np.int64))
+    # the columns' bytes are the arrays: nothing is copied
+    (index, at), (share, _) = (data(got[c].combine_chunks()) if got.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64)) for c in ("index", "share"))
+    return Sample(at // 4, index.view(np.uint32), share.view(np.float32), np.array(got["toxic"].to_pylist(), np.int64))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, most_features: int = 6_000_000, text: str = "text", key: str = "doc_id") -> Ordinal:
