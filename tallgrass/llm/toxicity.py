@@ -176,7 +176,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, most_features
     last = made.select("draw", "key", "index").select("draw", "key", before.alias("held")).where(F.col("held") <= most_features).agg(F.max(F.struct("draw", "key")).alias("last")).first()["last"]
     if last is not None:
         made = made.where((F.col("draw") < last["draw"]) | (F.col("draw") == last["draw"]) & (F.col("key") <= last["key"]))
-    got = made.limit(0 if last is None else most).drop("draw").toArrow().sort_by([("key", "ascending")])
+    got = (made if last is not None else made.limit(0)).drop("draw").orderBy("key").toArrow()
     # the columns' bytes are the arrays: nothing is copied
     (index, at), (share, _) = (data(got[c].combine_chunks()) if got.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64)) for c in ("index", "share"))
     return Sample(at // 4, index.view(np.uint32), share.view(np.float32), np.array(got["toxic"].to_pylist(), np.int64))
