@@ -64,6 +64,13 @@ def jn_full_compare(t):
     return n(2, "before").join(n(3, "after"), "candidate_id", "full")
 
 
+@query("jn_full_compare_status", "select coalesce(a.k, b.k) as candidate_id, a.n as before, b.n as after from (select o_custkey as k, count(*) as n from orders where o_orderstatus in ('F', 'P') group by 1) a full join (select o_custkey as k, count(*) as n from orders where o_orderstatus in ('O', 'P') group by 1) b on a.k = b.k")
+def jn_full_compare_status(t):
+    """As jn_full_compare, with sides that together hold every order: begun before, open after, in work on both."""
+    n = lambda name, *status: t.orders.where(F.col("o_orderstatus").isin(*status)).groupBy(F.col("o_custkey").alias("candidate_id")).agg(F.count(F.lit(1)).alias(name))
+    return n("before", "F", "P").join(n("after", "O", "P"), "candidate_id", "full")
+
+
 ROLES = [("admin", 1), ("recruiter", 2), ("candidate", 3)]
 GRANTS = {"admin": ("read", "write", "grant"), "recruiter": ("read", "write"), "candidate": ("read",)}
 
@@ -110,6 +117,13 @@ def jn_email_union(t):
     return direct.unionByName(t.orders.where("o_orderkey % 997 = 0").select(F.col("o_custkey").alias("candidate"))).distinct()
 
 
+@query("jn_email_union_all", "select c_custkey as candidate from customer union select o_custkey from orders")
+def jn_email_union_all(t):
+    """As jn_email_union, over all rows of both sides."""
+    direct = t.customer.select(F.col("c_custkey").alias("candidate"))
+    return direct.unionByName(t.orders.select(F.col("o_custkey").alias("candidate"))).distinct()
+
+
 @query("jn_enrich_absent", "select o_orderkey, case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then o_orderstatus else c_name end as company from orders join customer on o_custkey = c_custkey")
 def jn_enrich_absent(t):
     k = F.col("o_orderkey")

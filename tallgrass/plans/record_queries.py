@@ -66,6 +66,13 @@ def ups_matches(t):
     return r.match_upsert(part(2, "old"), part(3, "new"))
 
 
+@query("ups_matches_status", "select o_custkey as candidate_id, o_orderkey as job_id, 'r' as match_run_id, case when o_orderstatus in ('O', 'P') then 'new' else 'old' end as score from orders where o_orderstatus in ('F', 'O', 'P')")
+def ups_matches_status(t):
+    """As ups_matches, with sides that together hold every order."""
+    part = lambda score, *status: t.orders.where(F.col("o_orderstatus").isin(*status)).select(F.lit("r").alias("match_run_id"), F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("job_id"), F.lit(score).alias("score"))
+    return r.match_upsert(part("old", "F", "P"), part("new", "O", "P"))
+
+
 @query("flt_url_known", f"with {PAGES_SQL}, c as (select page_id, url, {CANON_SQL} as u from p) select page_id as job_id from c where u in (select u from c where page_id % 4 = 0) or page_id in (select page_id + 1 from c where page_id % 4 = 0)")
 def flt_url_known(t):
     """Jobs whose own URL, or whose neighbour's, is among those found."""
