@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
+from .collocations import collocations
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
@@ -67,6 +68,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
     "op10_minhash_dedup": op10_minhash_dedup,
     "op12_bpe": op12_bpe,
+    "op13_collocations": op13_collocations,
 }
 
 #: Lower-cases A-Z only.
@@ -115,6 +121,30 @@ e as (select a, b from l union all select b, a from l),
 r as (select doc_id, doc_id as c from d union select e.b, r.c from r join e on e.a = r.doc_id),
 m as (select doc_id, min(c) as component_id from r group by 1)
 select m.doc_id, coalesce(n.n, 0) as n_shingles, component_id, m.doc_id = component_id as kept from m left join n on n.doc_id = m.doc_id""",
+    "op13_collocations": rf"""
+with p as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(string_split_regex({_LOWER.format('text')}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w
+  from documents),
+t as (select lang, cast(sum(len(w)) as bigint) as n from p group by 1),
+f as (
+  select lang, phrase, any_value(size) as size, count(*) as a from (
+    select lang, size, array_to_string(w[i:i + size - 1], ' ') as phrase
+    from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from p, (select unnest([1, 2, 3]) as size) where len(w) >= size))
+  group by 1, 2),
+c as (select lang, phrase, size, a, string_split(phrase, ' ') as w from f where size > 1 and a >= 10),
+cuts as (
+  select lang, phrase, size, a, k, array_to_string(w[1:k], ' ') as one, array_to_string(w[k + 1:], ' ') as other
+  from (select *, unnest(range(1, size)) as k from c)),
+s as (
+  select cuts.lang, cuts.phrase, cuts.size, cuts.a, k, x.a as l, y.a as r, cast(cast(1000000 as hugeint) * cuts.a * cuts.a // (cast(x.a as hugeint) * y.a) as bigint) as score
+  from cuts join f x on x.lang = cuts.lang and x.phrase = one join f y on y.lang = cuts.lang and y.phrase = other
+  qualify row_number() over (partition by cuts.lang, cuts.phrase order by score, k) = 1),
+o as (select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase, a from c where size = 3),
+m as (select lang, phrase, max(a) as a from o group by 1, 2)
+select s.lang, row_number() over (partition by s.lang order by score desc, s.a desc, s.phrase) as rank, s.phrase, s.a, l, r, n, score
+from s join t on t.lang = s.lang left join m on m.lang = s.lang and m.phrase = s.phrase
+where m.a is null or 100 * m.a < 50 * s.a
+qualify rank <= 2000""",
     "op3_exact_dedup": r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
