@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .collocations import collocations
 from .common import table
+from .conversations import repaired_conversations
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
@@ -64,6 +65,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), size=4, letters_only=False)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_bpe": op12_bpe,
     "op13_collocations": op13_collocations,
 }
@@ -91,7 +97,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: CRC-32 of an ASCII string, a bit at a time.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda d, e: xor(d >> 1, case when d & 1 = 1 then 3988292384 else 0 end))))"""
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLE: dict[str, str] = {
+    #: Backwards from the last row: for each state (nothing read, system read, user read, assistant read) the cheapest (cost, audit, repaired turns) of the rest.
+    "op11_conversation_repair": f"""
+with recursive b as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC.format("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as kind from conversations),
+d as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text
+  from (select *, unnest(range(case when kind = 0 then 0 when kind = 3 then 2 else 1 end)) from b)),
+r as (
+  select *, rtrim(text, {_WHITE}) as solid, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d),
+s as (
+  select *, left(lag(role) over (partition by conv_id order by i), 1) || left(role, 1) as pair, row_number() over (partition by conv_id, role, text order by i) > 1 as again from r),
+f as (
+  select *, solid = '' as blank, solid <> '' and again as duplicate, solid <> '' and not again and right(solid, 1) not in ('.', '!', '?') as truncated,
+    row_number() over (partition by conv_id order by i desc) as back
+  from s),
+t as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+    count(*) filter (truncated) as truncated, count(*) filter (i > 1 and pair not in ('su', 'ua', 'au')) as illegal, max(i) as n
+  from f group by 1),
+v as (
+  select conv_id, n, 0 as back, {{'c': 0, 'a': '', 'r': ''}} as v0, {{'c': 6, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} as v1, {{'c': 3, 'a': 'I', 'r': chr(10) || 'assistant:'}} as v2, {{'c': 0, 'a': '', 'r': ''}} as v3 from t
+  union all
+  select conv_id, n, back, least(w0, i2, j3), least(w1, i2, j3), least(w2, i3), least(w3, i2) from (
+    select *, {{'c': w2.c + 3, 'a': 'I' || w2.a, 'r': chr(10) || 'user:' || w2.r}} as i2, {{'c': w3.c + 3, 'a': 'I' || w3.a, 'r': chr(10) || 'assistant:' || w3.r}} as i3,
+      {{'c': w3.c + 6, 'a': 'II' || w3.a, 'r': chr(10) || 'user:' || chr(10) || 'assistant:' || w3.r}} as j3
+    from (
+      select v.conv_id, n, f.back, m,
+        least({{'c': v0.c + 4, 'a': 'D' || v0.a, 'r': v0.r}}, case when not m and x = 's' then {{'c': v1.c + more, 'a': 'K' || v1.a, 'r': chr(10) || role || ':' || text || v1.r}} end, case when not m and x = 'u' then {{'c': v2.c + more, 'a': 'K' || v2.a, 'r': chr(10) || role || ':' || text || v2.r}} end, case when not m then {{'c': v2.c + 3 + more, 'a': 'R' || v2.a, 'r': chr(10) || 'user:' || text || v2.r}} end) as w0,
+        least({{'c': v1.c + 4, 'a': 'D' || v1.a, 'r': v1.r}}, case when not m and x = 'u' then {{'c': v2.c + more, 'a': 'K' || v2.a, 'r': chr(10) || role || ':' || text || v2.r}} end, case when not m then {{'c': v2.c + 3 + more, 'a': 'R' || v2.a, 'r': chr(10) || 'user:' || text || v2.r}} end) as w1,
+        least({{'c': v2.c + 4, 'a': 'D' || v2.a, 'r': v2.r}}, case when not m and x = 'a' then {{'c': v3.c + more, 'a': 'K' || v3.a, 'r': chr(10) || role || ':' || text || v3.r}} end, case when not m then {{'c': v3.c + 3 + more, 'a': 'R' || v3.a, 'r': chr(10) || 'assistant:' || text || v3.r}} end) as w2,
+        least({{'c': v3.c + 4, 'a': 'D' || v3.a, 'r': v3.r}}, case when not m and x = 'u' then {{'c': v2.c + more, 'a': 'K' || v2.a, 'r': chr(10) || role || ':' || text || v2.r}} end, case when not m then {{'c': v2.c + 3 + more, 'a': 'R' || v2.a, 'r': chr(10) || 'user:' || text || v2.r}} end) as w3
+      from v join (select conv_id, back, blank or duplicate as m, left(role, 1) as x, role, text, case when truncated then 3 else 0 end as more from f) f
+        on f.conv_id is not distinct from v.conv_id and f.back = v.back + 1))),
+e as (select * from v where back = n)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(v0.c, 0)::bigint as cost, coalesce(v0.a, '') as audit, sha256(coalesce(substr(v0.r, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join t on t.conv_id is not distinct from o.conv_id left join e on e.conv_id is not distinct from o.conv_id""",
     "op1_decontaminate": rf"""
 with d as (select doc_id, {_WORDS.format('text')} as w from documents),
 items as (select item_id, {_WORDS.format('text')} as w from benchmark where item_id is not null),
