@@ -234,7 +234,7 @@ def phrase_counts(docs: DataFrame, *, longest: int = 3, least: int = 10, text: s
     parts = rows.mapInArrow(sketch, "block long, cells binary, counts binary")
     merged = parts.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(merge, "block long, bits binary")
     bits = np.zeros(ROWS * width >> 3, np.uint8)
-    for r in merged.toLocalIterator():  # at most ROWS * MOST_COUNTERS bits
+    for r in merged.collect():  # at most ROWS * MOST_COUNTERS bits
         bits[r.block * (BLOCK >> 3) : (r.block + 1) * (BLOCK >> 3)] = np.frombuffer(r.bits, np.uint8)
     sent = spark.sparkContext.broadcast(bits.tobytes())
 
@@ -296,7 +296,7 @@ def collocations(docs: DataFrame, *, longest: int = 3, least: int = 10, covers:
     left = scratch.put(left)
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # first of each of many parts of a language, so that no task sorts a whole one
-    some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*best)
+    some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(16))).orderBy(*best)
     left = left.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= most)
     ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= most)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
