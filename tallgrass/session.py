@@ -1,8 +1,10 @@
-"""The session settings that all operators assume."""
+"""The session settings that all operators assume, and steps that outlive executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tallgrass", **conf: str) -> SparkSession:
@@ -14,3 +16,21 @@ def session(app: str = "tallgrass", **conf: str) -> SparkSession:
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     }
     return SparkSession.builder.appName(app).config(map=fixed | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may have it unset; a temporary folder is set then."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tallgrass-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed and written to the shared folder: later steps don't depend on executors that made it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
