@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import readers, sinks
 from ..streaming import events as ev
 from .registry import Tables, query, stamp
 
 
 def _folder(t: Tables) -> str:
-    """A new folder that driver and executors share; where none is set, a temporary one."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="tallgrass-stream-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
 
 
 def _run(t: Tables, make) -> DataFrame:
