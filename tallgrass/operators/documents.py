@@ -18,7 +18,7 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     split = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\R")).alias("raw_index", "line"))
     kept = split.withColumn("line", F.trim("line")).where((F.col("line") != "") & ~F.col("line").rlike(PAGE_MARK))
     n = F.row_number().over(Window.partitionBy(key).orderBy("raw_index"))
-    return kept.withColumn("line_no", n).select(key, "line_no", F.concat(F.lit("L"), F.lpad(F.col("line_no").cast("string"), 4, "0")).alias("line_id"), "raw_index", "line", t.is_bullet(F.col("line")).alias("is_bullet"))
+    return kept.withColumn("line_no", n).select(key, "line_no", F.format_string("L%04d", "line_no").alias("line_id"), "raw_index", "line", t.is_bullet(F.col("line")).alias("is_bullet"))
 
 
 def sections(rows: DataFrame, key: str, order: str, is_header: Column, name: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, skills, text
 from ..operators import documents as d
+from ..operators.canonical import lines_of_spans
 from .registry import query, stamp
 
 LINES_SQL = r"""raw as (select doc_id, unnest(string_split_regex(coalesce(text, ''), '\r\n|\n|\r')) as line, unnest(range(0, len(string_split_regex(coalesce(text, ''), '\r\n|\n|\r')))) as raw_index from documents),
@@ -88,7 +89,7 @@ def span_counts(t):
 @query("span_lines", rf"with {NORMAL_SQL}, {LINES_SQL} select span_type, count(*) as n, cast(sum(length(line)) as bigint) as chars from normal join lines on normal.doc_id = lines.doc_id and line_no between start_line and end_line group by 1")
 def span_lines(t):
     rows = d.lines(t.documents, "doc_id", "text")
-    joined = d.normal_spans(*_spans(t), "doc_id", 3).join(rows, "doc_id").where("line_no between start_line and end_line")
+    joined = lines_of_spans(d.normal_spans(*_spans(t), "doc_id", 3), rows, "doc_id")
     return joined.groupBy("span_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
