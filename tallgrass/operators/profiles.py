@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skills import words_apart
 from ..functions.text import brief, unique_by_lower
 from .lifecycle import upsert
 
@@ -19,9 +20,9 @@ PHONE = r"^[+0-9][0-9\s().-]{6,24}$"
 WEB_URL = r"(?i)^https?://[^\s]+$"
 BUSY_UPLOADS = ("queued", "processing", "profile_extracting")
 MATCHER_TERMS = (
-    "python java scala sql spark pyspark databricks snowflake redshift aws azure gcp airflow kafka hadoop hive glue emr s3 lambda terraform docker kubernetes fastapi pytorch tensorflow scikit-learn xgboost lightgbm mlflow "
-    "langchain rag llm nlp opencv mongodb postgresql mysql oracle qdrant pinecone faiss"
-).split()
+    "python", "java", "scala", "sql", "spark", "pyspark", "databricks", "snowflake", "redshift", "aws", "azure", "gcp", "airflow", "kafka", "hadoop", "hive", "glue", "emr", "s3", "lambda", "terraform", "docker",
+    "kubernetes", "fastapi", "pytorch", "tensorflow", "scikit-learn", "xgboost", "lightgbm", "mlflow", "langchain", "rag", "llm", "nlp", "opencv", "mongodb", "postgresql", "mysql", "oracle", "qdrant", "pinecone", "faiss",
+)
 MATCHER_SYNONYMS = {"pyspark": "spark", "apache spark": "spark", "amazon web services": "aws", "machine learning": "ml", "retrieval augmented generation": "rag"}
 
 
@@ -130,10 +131,10 @@ def matcher_skill(c: Column) -> Column:
 
 def matcher_skills(lists: list[Column], record: Column) -> Column:
     """The set of skills of a record, sorted: those it lists, and the known terms in the whole of its JSON text."""
-    low = F.lower(record)
-    mined = [F.when(low.rlike(rf"(?<![a-z0-9+#.-]){t.replace('-', '[-]')}(?![a-z0-9+#.-])"), F.lit(MATCHER_SYNONYMS.get(t, t))) for t in MATCHER_TERMS]
+    named = F.create_map(*[F.lit(x) for t in MATCHER_TERMS for x in (t, MATCHER_SYNONYMS.get(t, t))])
     empty = F.array().cast("array<string>")
-    every = F.concat(*[F.transform(F.coalesce(x, empty), matcher_skill) for x in lists], F.array(*mined))
+    mined = F.transform(F.array_intersect(F.array(*map(F.lit, MATCHER_TERMS)), F.coalesce(words_apart(F.lower(record)), empty)), lambda t: named[t])
+    every = F.concat(*[F.transform(F.coalesce(x, empty), matcher_skill) for x in lists], mined)
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (x != ""))))
 
 
