@@ -58,12 +58,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Frees tables, and the shuffle files of steps that are done: Spark removes those when the driver's garbage is collected."""
+    def drop(self, *tables: DataFrame, small: bool = False) -> None:
+        """Frees tables, and the shuffle files of steps that are done: Spark removes those when the driver's garbage is collected. Nothing is collected for ``small`` tables."""
         for t in tables:
             self._delete(t._scratch_path)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if not small:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:
         try:

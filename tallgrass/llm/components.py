@@ -25,7 +25,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
             jumped = scratch.put(hooks.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")))
             still = jumped.where("moved").isEmpty()
-            scratch.drop(hooks)
+            scratch.drop(hooks, small=True)
             hooks = jumped.select("node", "root")
             hooks._scratch_path = jumped._scratch_path
             if still:
@@ -38,7 +38,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             old = labels
             labels = scratch.put(old.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-            scratch.drop(old, hooks)
+            scratch.drop(old, hooks, small=True)
         scratch.drop(edges)
         edges = contracted
     if labels is None:

@@ -133,6 +133,36 @@ def test_near_passages_are_found(spark):
     print("near passages found", len(found), "of", n)
 
 
+@pytest.mark.parametrize("pieces", [2, 3, 6])
+def test_near_passages_that_an_earlier_text_quotes_in_pieces(spark, pieces):
+    """80 words of which one or two apart differ; an earlier text holds all of them in overlapping pieces of 44 words."""
+    rng, made, n = Random(11), [], 60
+    fresh = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    for k in range(n):
+        one = fresh(80)
+        other = list(one)
+        other[15 + rng.randrange(10)] = "changed"
+        if k % 2:
+            other[50 + rng.randrange(10)] = "changed too"
+        starts = [round(i * 36 / (pieces - 1)) for i in range(pieces)]
+        quoted = [w for at in starts for w in one[at : at + 44] + fresh(30)]
+        for t, part in enumerate((quoted, one, other)):
+            made.append((3 * k + t, " ".join(fresh(60) + part + fresh(60))))
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(made, "doc_id long, text string").coalesce(2)).collect()}
+    found = [k for k in range(n) if 3 * k + 1 in got and 3 * k + 2 in got and got[3 * k + 1].class_id == got[3 * k + 2].class_id]
+    assert len(found) >= 0.97 * n
+
+
+def test_a_passage_beyond_the_reach_of_a_window(spark):
+    """A text of 70,000 words, its copy in a longer one with a word changed here and there, and a text with nothing of it."""
+    rng = Random(12)
+    long = [f"w{rng.randrange(10**9)}" for _ in range(70_000)]
+    other = [f"x{i}" if i % 997 == 500 else w for i, w in enumerate(long)]
+    texts = [(1, " ".join(long)), (2, " ".join(["before"] * 3 + other + ["after"])), (3, " ".join(f"y{i}" for i in range(300)))]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()}
+    assert set(got) == {1, 2} and got[2].class_id == 1 and got[1].n_repeated_words == 70_000
+
+
 @pytest.fixture(scope="module")
 def folder(spark, odd, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sf"))
