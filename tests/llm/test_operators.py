@@ -80,6 +80,42 @@ def test_decontamination(spark, docs, odd, none):
     assert contaminated(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_each_text_is_read_once_whatever_the_parts(spark, odd):
+    rng = Random(3)
+    items = [(i, " ".join(f"i{rng.randrange(500)}" for _ in range(30))) for i in range(40)]
+    texts = [(k, items[k % 40][1] if k % 3 else x) for k, (_, x, *_) in enumerate(odd * 10)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2).mapInArrow(counted, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = rows(contaminated(docs, bench, part_words=300).drop("spans", "items"))
+    assert read.value == len(texts)
+    assert found == rows(contaminated(docs, bench).drop("spans", "items"))
+
+
+def test_items_of_one_template():
+    """Ten thousand items share their rarest words and differ beyond a window of them; a hit takes a few look-ups and tells the right items."""
+    import time
+
+    def took(n):
+        items = [(str(i), f"before{i} once upon a time there was a very small question about thing{i} and more".encode()) for i in range(n)]
+        machine = Machine(items, 10)
+        text = b"so before7 once upon a time there was a very small question about thing7 and so on ".split() * 200
+        start = time.time()
+        hits, of = machine.scan(text)
+        return time.time() - start, hits, of
+
+    _, hits, of = took(20)
+    assert of == set(range(20)) and hits == sorted(hits) and len(hits) == 200
+    assert all(b - a == 14 for a, b in hits)
+    assert took(10_000)[0] < 20 * took(100)[0] + 1
+
+
 def thue_morse(n: int, flip: bool = False) -> str:
     """Letters on which any polynomial modulo a power of two agrees with its complement."""
     return "".join("ab"[(i.bit_count() + flip) & 1] for i in range(n))
