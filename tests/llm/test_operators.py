@@ -275,6 +275,26 @@ def test_near_dedup_finds_links_among_many_versions(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_near_dedup_among_pages_of_one_template(spark):
+    """Pages at a similarity of about 0.6 share buckets without being linked; split buckets still join those that are, and send fewer rows than blocks would."""
+    rng = Random(8)
+    template = [f"t{i}" for i in range(150)]
+    made = []
+    for i in range(1200):
+        own = [f"p{i}x{k}" for k in range(45)]
+        made.append(template + own if i % 4 else template + made[-1][150:-1] + ["end"] if i else template + own)
+    texts = [(i, " ".join(x)) for i, x in enumerate(made)]
+    sets = [{tuple(x[k : k + 4]) for k in range(len(x) - 3)} for x in made]
+    assert 0.5 < len(sets[1] & sets[2]) / len(sets[1] | sets[2]) < 0.75
+    up = list(range(len(made)))
+    for i in range(4, len(made), 4):
+        assert 100 * len(sets[i] & sets[i - 1]) >= 80 * len(sets[i] | sets[i - 1])
+        up[i] = up[i - 1]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for block, wide in ((16, 2), (512, 16)):
+        assert {r.doc_id: r.component_id for r in near_dedup(frame, size=4, block=block, wide=wide).collect()} == dict(enumerate(up))
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     least = least_matches(80, 1e-4)
     assert least == sorted(least) and least[-1] < 0.8 * 125
