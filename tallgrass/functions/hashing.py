@@ -34,3 +34,12 @@ def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
+def record_id(prefix: str, **fields: Column) -> Column:
+    """A prefix and 24 digits of the hash of a JSON object with sorted keys, nulls kept and a space after commas and colons, as feedback and training pairs are named."""
+    names = sorted(fields)
+    text = lambda c: F.coalesce(F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6), F.lit("null"))
+    value = lambda c: F.when(c.isNull(), "null").otherwise(text(c))
+    body = F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), value(fields[n])) for n in names])
+    return F.concat(F.lit(prefix), F.left(F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256), F.lit(24)))

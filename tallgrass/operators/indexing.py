@@ -22,6 +22,15 @@ def pending(towers: DataFrame, key: str, *, ids: DataFrame | None = None, all_:
     return rows if ids is None else rows.join(ids.select(key), key, "left_semi")
 
 
+def scanned(towers: DataFrame, key: str, *, only_pending: bool = False, ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Towers, newest first (ties by key): all or those not indexed yet, only some ids if given, at most ``limit``."""
+    rows = towers.where(~F.col("embedding_status").eqNullSafe("indexed")) if only_pending else towers
+    if ids is not None:
+        rows = rows.join(ids.select(key).where(F.trim(F.col(key).cast("string")) != "").distinct(), key, "left_semi")
+    rows = rows.orderBy(F.desc("updated_at"), key)
+    return rows.limit(limit) if limit else rows
+
+
 def skipped(towers: DataFrame, key: str) -> DataFrame:
     """How many towers can't be indexed, by reason."""
     return towers.agg(F.count_if(F.coalesce(F.col(key).cast("string"), F.lit("")) == "").alias("no_id"), F.count_if(F.trim(F.coalesce("embedding_text", F.lit(""))) == "").alias("no_text"))

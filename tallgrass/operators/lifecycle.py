@@ -193,6 +193,17 @@ def jobs_by_url(jobs: DataFrame, columns: tuple[str, ...] = ("canonical_job_url"
     return keys.where("coalesce(url_key, '') <> ''").groupBy("url_key").agg(F.max("job_id").alias("job_id"))
 
 
+def planned_target(discovered: DataFrame, jobs: DataFrame, target: str, now: Column, session: Column, **limits) -> tuple[DataFrame, DataFrame]:
+    """(plan, jobs) of one target's discovery: the plan of ``plan_details`` against the target's own jobs, and all jobs with those that the plan saw active again, without misses or
+    reasons, and seen now by this session. Another target's job under the same address is none of the plan's. Nothing discovered changes nothing."""
+    mine = jobs.where(F.col("target_id") == target)
+    plan = plan_details(discovered, mine, now, **limits)
+    seen = plan.where("job_id is not null").select("job_id").distinct().withColumn("seen", F.lit(True))
+    j = jobs.join(seen, "job_id", "left")
+    new = {"last_seen_at": now, "last_run_session_id": session, "freshness_status": F.lit("active"), "missing_count": F.lit(0), "is_active": F.lit(True), "inactive_reason": F.lit(None), "deactivated_at": F.lit(None)}
+    return plan, j.select(*[F.when(F.col("seen"), new[c].cast(kind)).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c, kind in jobs.dtypes])
+
+
 def plan_details(discovered: DataFrame, jobs: DataFrame, now: Column, *, refresh_days: int = 14, force: bool = False) -> DataFrame:
     """(url, job_id, extract, is_new, due, broken) of each discovered URL in canonical form.
 
@@ -291,3 +302,40 @@ def chunked(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """Adds ``chunk``: rows of a key in an order, ``size`` to a chunk, from 0."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return rows.withColumn("chunk", F.floor((n - 1) / size).cast("long"))
+
+
+def primary_linked(links: DataFrame, given: DataFrame, now: Column) -> DataFrame:
+    """Links (user_id, candidate_id, resume_id, is_primary, is_active, metadata, modified_on) after users were linked anew (user_id, candidate_id, resume_id, metadata, ordinal).
+
+    The last link given to a user is its primary one, active, with the new résumé and the old metadata under the new; a user's other primary links lose that, with the time. Links of users that were given
+    none, and other users' links to the same candidate, stay as they were.
+    """
+    last = latest(given, ["user_id"], F.desc("ordinal")).select("user_id", "candidate_id", F.col("resume_id").alias("new_resume"), F.col("metadata").alias("new_metadata"), F.lit(True).alias("given"))
+    every = given.groupBy("user_id", "candidate_id").agg(F.max_by(F.struct("resume_id", "metadata"), "ordinal").alias("g"))
+    every = every.join(last.select("user_id", "candidate_id", "given"), ["user_id", "candidate_id"], "left")
+    j = links.join(every, ["user_id", "candidate_id"], "full").join(last.select("user_id", F.lit(True).alias("relinked")), "user_id", "left")
+    named, chosen = F.col("g").isNotNull(), F.coalesce("given", F.lit(False))
+    lost = F.coalesce("relinked", F.lit(False)) & ~chosen & F.coalesce("is_primary", F.lit(False))
+    empty = F.create_map().cast(dict(links.dtypes)["metadata"])
+    return j.select(
+        "user_id", "candidate_id", F.when(named, F.col("g.resume_id")).otherwise(F.col("resume_id")).alias("resume_id"), F.when(F.col("relinked"), chosen).otherwise(F.col("is_primary")).alias("is_primary"), F.when(named, True).otherwise(F.col("is_active")).alias("is_active"),
+        F.when(named, json_merged(F.coalesce("metadata", empty), F.coalesce("g.metadata", empty))).otherwise(F.col("metadata")).alias("metadata"), F.when(named | lost, now).otherwise(F.col("modified_on")).alias("modified_on"),
+    )
+
+
+def resolved_users(logins: DataFrame, identities: DataFrame, legacy: DataFrame, users: DataFrame) -> DataFrame:
+    """(login, user_id, strategy, error) of each login: by identity (issuer, subject), else by the older (realm, subject), else by a verified e-mail of an active user of its organisation.
+
+    Two active users of one e-mail are an error, and so is an e-mail that is a user's while the login's isn't verified; such a login has no user. One that nothing names is new (strategy null).
+    logins: login, issuer, subject, realm, org_id, email, verified; identities: issuer, subject, user_id; legacy: realm, subject, user_id; users: user_id, org_id, email, is_active.
+    """
+    mail = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    by_mail = users.where("is_active").groupBy("org_id", mail(F.col("email")).alias("mail")).agg(F.min("user_id").alias("mail_user"), F.count(F.lit(1)).alias("mail_users"))
+    one = lambda df, keys, name: df.groupBy(*keys).agg(F.min("user_id").alias(name))
+    j = logins.withColumn("mail", mail(F.col("email"))).join(one(identities, ["issuer", "subject"], "own"), ["issuer", "subject"], "left")
+    j = j.join(one(legacy, ["realm", "subject"], "older"), ["realm", "subject"], "left").join(by_mail, ["org_id", "mail"], "left")
+    found, verified = F.coalesce("own", "older"), F.coalesce("verified", F.lit(False))
+    error = F.when(found.isNull() & (F.col("mail_users") > 1), "ambiguous_email").when(found.isNull() & (F.col("mail_users") == 1) & ~verified, "unverified_email")
+    user = F.when(found.isNotNull(), found).when(error.isNull(), F.col("mail_user"))
+    strategy = F.when(F.col("own").isNotNull(), "identity").when(F.col("older").isNotNull(), "legacy").when(error.isNull() & F.col("mail_user").isNotNull(), "verified_email")
+    return j.select("login", user.alias("user_id"), strategy.alias("strategy"), error.alias("error"))

@@ -8,10 +8,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..session import kept
 
 
 def valid_vectors(df: DataFrame, column: str, size: int) -> DataFrame:
@@ -25,14 +27,20 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, *, most_queries: int = 20
 
     ``queries`` is a stated set. Its vectors are measured and dealt by hash into groups of about ``most_queries`` or ``most_bytes``, whichever is less, each of which is sent to all
     tasks and meets all rows in turn; a query's group is known from its id, so what is sent is bounded whatever the set. A task scores a batch of rows against a group by one
-    matrix product and keeps k a query of each batch, ties included, before the shuffle. Vectors without a length have no score.
+    matrix product and keeps k a query of each batch, ties included, before the shuffle. Of several groups one is held at a time, its hits written before the next is sent. Vectors without a length have no score.
     """
     if most_queries < 1:
         raise ValueError(f"groups of {most_queries} queries can't meet any row")
     held = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("size")).first()
     groups = max(1, -(-held["n"] // most_queries), -(-held["n"] * max(1, held["size"] or 1) * 8 // most_bytes))
     group = F.pmod(F.xxhash64("query_id", F.lit("group")), F.lit(groups))
-    parts = [_top_k(queries.where(group == g) if groups > 1 else queries, rows, k) for g in range(groups)]
+    if groups == 1:
+        return _top_k(queries, rows, k)[0]
+    parts = []
+    for g in range(groups):  # one after the other, each written before the next is sent
+        found, sent = _top_k(queries.where(group == g), rows, k)
+        parts.append(kept(found))
+        sent.destroy()
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -46,7 +54,7 @@ def _unit(vectors: pa.Array, size: int) -> np.ndarray:
         return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
-def _top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def _top_k(queries: DataFrame, rows: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
     ids = asked["query_id"].combine_chunks() if asked.num_rows else pa.array([], asked.schema.field("query_id").type)
     vectors = asked["vector"].combine_chunks() if asked.num_rows else pa.array([], pa.list_(pa.float64()))
@@ -71,7 +79,7 @@ def _top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     kinds = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["row_id"]
     scored = rows.select("row_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(nearest, f"query_id {kinds[0]}, row_id {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k), sent
 
 
 def baseline(hits: DataFrame, jobs: DataFrame, candidates: DataFrame) -> DataFrame:

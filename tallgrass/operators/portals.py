@@ -47,6 +47,25 @@ def overridden(portals: DataFrame, overrides: DataFrame) -> DataFrame:
     return j.select("portal_id", status.alias("status"), (F.col("version") + got.cast("int")).alias("version"), kept.alias("entries"), F.when(got, F.col("new_profile")).alias("profile_name"))
 
 
+def override_saved(portals: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Portals after administrators' overrides, with ``outcome`` (saved, rejected, null): profile, platform, strategy and the map of profile overrides are the new ones, confidence is full, the status is ready for a test unless
+    blocked or paused, the version one more, and an entry joins the last nine. An override that was made from another version is rejected and changes nothing.
+
+    portals: portal_id, status, version, profile_name, source_platform, crawl_strategy, confidence, profile_overrides, entries; overrides: portal_id, read_version (or null: any), profile_name, source_platform,
+    crawl_strategy, profile_overrides, entry; one of a portal. A blank platform stays, or is ``custom_listing`` where none was; a blank strategy is the profile's name.
+    """
+    names = ("profile_name", "source_platform", "crawl_strategy", "profile_overrides")
+    j = portals.join(overrides.select("portal_id", "read_version", "entry", F.lit(True).alias("asked"), *[F.col(c).alias(f"new_{c}") for c in names]), "portal_id", "left")
+    ok = F.coalesce("asked", F.lit(False)) & (F.col("read_version").isNull() | (F.col("read_version") == F.col("version")))
+    filled = lambda c: F.when(F.trim(c) != "", F.col(c))
+    kind = dict(portals.dtypes)["profile_overrides"]
+    new = {
+        "profile_name": F.col("new_profile_name"), "source_platform": F.coalesce(filled("new_source_platform"), filled("source_platform"), F.lit("custom_listing")), "crawl_strategy": F.coalesce(filled("new_crawl_strategy"), F.col("new_profile_name")), "confidence": F.lit(1.0),
+        "profile_overrides": F.coalesce("new_profile_overrides", F.create_map().cast(kind)), "status": F.when(F.col("status").isin("blocked", "paused"), F.col("status")).otherwise("ready_for_test"), "version": F.col("version") + 1, "entries": last_entries(F.col("entries"), F.array("entry")),
+    }
+    return j.select(*[F.when(ok, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in portals.columns], F.when(ok, "saved").when(F.col("asked"), "rejected").alias("outcome"))
+
+
 def probe_status(blocked: Column, discovered: Column) -> Column:
     """What a probe says of a portal."""
     return F.when(F.coalesce(blocked, F.lit(False)), "blocked").when(F.coalesce(discovered, F.lit(0)) > 0, "ready_for_test").otherwise("needs_review")
