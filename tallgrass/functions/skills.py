@@ -73,25 +73,23 @@ def unique_skills(c: Column, aliases: dict[str, str] | None = None) -> Column:
     return keep_first(shown, skill_key)
 
 
-def words_apart(text: Column, also: str = "") -> Column:
-    """Runs of [a-z0-9+#.-] in a lower-cased text, which are what may stand beside a term; each character of ``also`` as an item of its own."""
-    return F.regexp_extract_all(text, F.lit(rf"[a-z0-9+#.-]+|[{also}]" if also else "[a-z0-9+#.-]+"), 0)
+def words_apart(text: Column) -> Column:
+    """The runs of [a-z0-9+#.-] in a lower-cased text; a term of such characters stands by itself where it is one of them."""
+    return F.regexp_extract_all(text, F.lit("[a-z0-9+#.-]+"), 0)
 
 
 def terms_in(text: Column, vocabulary: tuple[str, ...] = KNOWN) -> Column:
     """Terms that stand in a text by themselves, longest first (ties by name).
 
-    A term is a run of words and what separates them; the text's runs of as many items are looked up in the set of terms at once, so the
-    time doesn't grow with the number of terms.
+    Terms of one word are looked up in the set of the text's words, all at once; only the few of several words are searched for.
     """
-    flat = F.regexp_replace(F.lower(text), r"[^a-zA-Z0-9+#./-]+", " ")
+    flat = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-zA-Z0-9+#./-]+", " "), F.lit(" "))
     ordered = sorted(vocabulary, key=lambda t: (-len(t), t))
-    widths = sorted({len(re.findall(r"[a-z0-9+#.-]+|[ /]", t)) for t in ordered})
-    runs = lambda x, n: F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, F.lit(n)), ""))
-    none = F.array().cast("array<string>")
-    every = lambda x: F.concat(*[x if n == 1 else F.when(F.size(x) >= n, runs(x, n)).otherwise(none) for n in widths])
-    # the items are made once, as the only item of a list
-    return F.transform(F.array(words_apart(flat, " /")), lambda x: F.array_intersect(F.array(*map(F.lit, ordered)), every(x)))[0]
+    several = [t for t in ordered if not re.fullmatch(r"[a-z0-9+#.-]+", t)]
+    inside = lambda t: rf"(?<![a-zA-Z0-9+#.-])\Q{t}\E(?![a-zA-Z0-9+#.-])"
+    found = lambda x: F.concat(words_apart(x), *([F.array(*[F.when(x.contains(t) & x.rlike(inside(t)), F.lit(t)) for t in several])] if several else []))
+    # the flat text is made once, as the only item of a list
+    return F.transform(F.array(flat), lambda x: F.array_intersect(F.array(*map(F.lit, ordered)), found(x)))[0]
 
 
 def domains(text: Column, rules=DOMAINS) -> Column:
