@@ -58,15 +58,9 @@ def jn_left_hide(t):
     return control.unhandled(saved, applied, ["o_orderkey"], ("F",)).select("o_orderkey")
 
 
-@query("jn_full_compare", "select coalesce(a.k, b.k) as candidate_id, a.n as before, b.n as after from (select o_custkey as k, count(*) as n from orders where o_orderkey % 2 = 0 group by 1) a full join (select o_custkey as k, count(*) as n from orders where o_orderkey % 3 = 0 group by 1) b on a.k = b.k")
-def jn_full_compare(t):
-    n = lambda by, name: t.orders.where(f"o_orderkey % {by} = 0").groupBy(F.col("o_custkey").alias("candidate_id")).agg(F.count(F.lit(1)).alias(name))
-    return n(2, "before").join(n(3, "after"), "candidate_id", "full")
-
-
 @query("jn_full_compare_status", "select coalesce(a.k, b.k) as candidate_id, a.n as before, b.n as after from (select o_custkey as k, count(*) as n from orders where o_orderstatus in ('F', 'P') group by 1) a full join (select o_custkey as k, count(*) as n from orders where o_orderstatus in ('O', 'P') group by 1) b on a.k = b.k")
 def jn_full_compare_status(t):
-    """As jn_full_compare, with sides that together hold every order: begun before, open after, in work on both."""
+    """Sides that together hold every order: begun before, open after, in work on both."""
     n = lambda name, *status: t.orders.where(F.col("o_orderstatus").isin(*status)).groupBy(F.col("o_custkey").alias("candidate_id")).agg(F.count(F.lit(1)).alias(name))
     return n("before", "F", "P").join(n("after", "O", "P"), "candidate_id", "full")
 
@@ -111,15 +105,9 @@ def jn_lateral_latest(t):
     return control.with_latest(t.customer.select("c_custkey"), runs, "c_custkey", F.desc("o_orderdate"), F.desc("o_orderkey")).select("c_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("jn_email_union", "select distinct candidate from (select c_custkey as candidate from customer where lower(c_name) like '%7' union all select o_custkey from orders where o_orderkey % 997 = 0)")
-def jn_email_union(t):
-    direct = t.customer.where(F.lower("c_name").like("%7")).select(F.col("c_custkey").alias("candidate"))
-    return direct.unionByName(t.orders.where("o_orderkey % 997 = 0").select(F.col("o_custkey").alias("candidate"))).distinct()
-
-
 @query("jn_email_union_all", "select c_custkey as candidate from customer union select o_custkey from orders")
 def jn_email_union_all(t):
-    """As jn_email_union, over all rows of both sides."""
+    """All rows of both sides."""
     direct = t.customer.select(F.col("c_custkey").alias("candidate"))
     return direct.unionByName(t.orders.select(F.col("o_custkey").alias("candidate"))).distinct()
 

@@ -60,15 +60,9 @@ def jn_recommendations(t):
     return r.recommendations(rows, jobs, 200)
 
 
-@query("ups_matches", "select coalesce(a.o_custkey, b.o_custkey) as candidate_id, coalesce(a.o_orderkey, b.o_orderkey) as job_id, 'r' as match_run_id, case when b.o_orderkey is not null then 'new' else 'old' end as score from (select * from orders where o_orderkey % 2 = 0) a full join (select * from orders where o_orderkey % 3 = 0) b on a.o_orderkey = b.o_orderkey")
-def ups_matches(t):
-    part = lambda by, score: t.orders.where(f"o_orderkey % {by} = 0").select(F.lit("r").alias("match_run_id"), F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("job_id"), F.lit(score).alias("score"))
-    return r.match_upsert(part(2, "old"), part(3, "new"))
-
-
 @query("ups_matches_status", "select o_custkey as candidate_id, o_orderkey as job_id, 'r' as match_run_id, case when o_orderstatus in ('O', 'P') then 'new' else 'old' end as score from orders where o_orderstatus in ('F', 'O', 'P')")
 def ups_matches_status(t):
-    """As ups_matches, with sides that together hold every order."""
+    """Sides that together hold every order."""
     part = lambda score, *status: t.orders.where(F.col("o_orderstatus").isin(*status)).select(F.lit("r").alias("match_run_id"), F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("job_id"), F.lit(score).alias("score"))
     return r.match_upsert(part("old", "F", "P"), part("new", "O", "P"))
 
