@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import round_trip
 from .collocations import collocations
@@ -77,6 +78,17 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 finds of the base phrases."""
+    return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op8."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round(F.col("target") * 1000).cast("long").alias("target_e3"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
@@ -91,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_conversation_repair": op11_conversation_repair,
     "op12_bpe": op12_bpe,
     "op13_collocations": op13_collocations,
+    "license_base": license_base,
+    "mixing_targets": mixing_targets,
 }
 
 #: Lower-cases A-Z only.
@@ -157,6 +171,19 @@ its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hits on d.doc_id = hits.doc_id left join its on d.doc_id = its.doc_id""",
+    "license_base": rf"""
+with d as (select doc_id, {_WORDS.format('text')} as w from documents),
+b as (select * from (values (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) as v(p, label)),
+h as (select doc_id, i - 1 as i, label from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), b where w[i] = p[1] and w[i:i + len(p) - 1] = p)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(count(h.i) as bigint) as n_base, min(h.i) as first_word, max(h.i) as last_word, coalesce(string_agg(distinct label, ',' order by label), '') as base_labels
+from d left join h on h.doc_id = d.doc_id group by d.doc_id, w""",
+    "mixing_targets": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+s as (select source, sum(size)::double as size, [5, 2, 1][1 + ((row_number() over (order by source nulls last)) - 1) % 3]::double as w from d group by 1),
+o as (select *, sum(size) over () as total, sum(w) over () as all_w, row_number() over (order by 3 * size / w, source nulls last) as k from s),
+c as (select *, coalesce(sum(3 * size) over (order by k rows between unbounded preceding and 1 preceding), 0) as capped, coalesce(sum(w) over (order by k rows between unbounded preceding and 1 preceding), 0) as capped_w from o),
+l as (select arg_min((total - capped) / (all_w - capped_w), k) filter ((total - capped) / (all_w - capped_w) <= 3 * size / w) as level from c)
+select doc_id, d.size, cast(s.size as bigint) as source_size, cast(round(least(3 * s.size, level * w) * 1000) as bigint) as target_e3 from d join s on s.source is not distinct from d.source, l""",
     "op10_minhash_dedup": rf"""
 with recursive d as (select doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') as w from documents),
 s as (
