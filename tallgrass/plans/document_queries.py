@@ -70,7 +70,15 @@ def span_normalise(t):
     return d.normal_spans(*_spans(t), "doc_id", 3)
 
 
-@query("span_dedupe")
+@query("span_dedupe", f"""with recursive {NORMAL_SQL},
+o as (select *, row_number() over (partition by doc_id, span_type order by confidence desc, end_line - start_line desc, start_line, end_line) as i from normal),
+k as (
+  select doc_id, span_type, start_line, end_line, confidence, i, true as kept, [{{'a': start_line, 'b': end_line}}] as held from o where i = 1
+  union all
+  select doc_id, span_type, start_line, end_line, confidence, i, free, case when free then list_append(held, {{'a': start_line, 'b': end_line}}) else held end from (
+    select o.*, held, len(list_filter(held, lambda h: least(o.end_line, h.b) - greatest(o.start_line, h.a) + 1 >= 0.8::double * least(o.end_line - o.start_line + 1, h.b - h.a + 1))) = 0 as free
+    from k join o on o.doc_id = k.doc_id and o.span_type = k.span_type and o.i = k.i + 1))
+select doc_id, span_type, start_line, end_line, confidence from k where kept""")
 def span_dedupe(t):
     return d.distinct_spans(d.normal_spans(*_spans(t), "doc_id", 3), "doc_id")
 
