@@ -235,14 +235,16 @@ def backfilled(jobs: DataFrame, discovered: DataFrame, target: str, now: Column,
     return reconcile(again, discovered, target, now, **limits).join(reset.select("job_id", "last_seen_at"), "job_id")
 
 
-def resume_upsert(current: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def resume_upsert(current: DataFrame, batch: DataFrame, now: Column, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(profiles, history) after a batch of parsed profiles: one row a résumé, first seen once, and a history row for each new content.
 
     current: resume_id, sha256, content_hash, first_seen_at, last_seen_at, is_active; batch: sha256, resume_id (or null), content_hash. A row without
-    a hash is dropped; without an id it gets one from its hash. Of rows of one résumé the greatest content hash counts.
+    a hash is dropped; without an id it gets one from its hash. Of rows of one résumé the last in ``order`` counts, without an order that of the greatest
+    content hash.
     """
     rows = batch.where("coalesce(sha256, '') <> ''").withColumn("resume_id", F.coalesce("resume_id", F.concat(F.lit("res_"), F.left("sha256", F.lit(24)))))
-    rows = rows.groupBy("resume_id").agg(F.max("content_hash").alias("content_hash"), F.max_by("sha256", "content_hash").alias("sha256"))
+    last = F.struct(order, "content_hash") if order else F.col("content_hash")
+    rows = rows.groupBy("resume_id").agg(F.max_by("content_hash", last).alias("content_hash"), F.max_by("sha256", last).alias("sha256"))
     new = rows.select("resume_id", "sha256", "content_hash", now.alias("first_seen_at"), now.alias("last_seen_at"), F.lit(True).alias("is_active"))
     changed = rows.join(current.select("resume_id", F.col("content_hash").alias("old")), "resume_id", "left").where(~F.col("content_hash").eqNullSafe(F.col("old")))
     told = changed.select(F.concat(F.lit("reshist_"), "resume_id", F.lit("_"), F.left("content_hash", F.lit(16))).alias("history_id"), "resume_id", "sha256", "content_hash")

@@ -64,11 +64,13 @@ def patch_errors(patch: Column, full_name: Column, email: Column) -> Column:
     keys = F.array_sort(F.map_keys(patch))
     locked = F.filter(keys, lambda k: k.isin(*[f for f in LOCKED if f not in ("full_name", "name", "email")]))
     unknown = F.filter(keys, lambda k: ~k.isin(*LOCKED, *MATCHING_FIELDS, *OTHER_FIELDS))
+    # the full name as it came, blank or not, goes before the other one
+    name = cleaned(F.coalesce(F.nullif(F.element_at(patch, "full_name"), F.lit("")), F.element_at(patch, "name")), 300)
     years = F.element_at(patch, "total_experience_years")
     filled = has("total_experience_years") & (F.coalesce(years, F.lit("")) != "")
     url = lambda k: F.when(~value(k).rlike(WEB_URL), F.concat(F.lit(k), F.lit(" is no web address")))
     rules = [
-        F.when(differs(F.coalesce(value("full_name"), value("name")), full_name), "name is locked"), F.when(differs(value("email"), email), "email is locked"),
+        F.when(differs(name, full_name), "name is locked"), F.when(differs(value("email"), email), "email is locked"),
         F.when(F.size(locked) > 0, F.concat(F.lit("locked: "), F.array_join(locked, ", "))), F.when(~value("phone").rlike(PHONE), "phone is invalid"),
         F.when(filled & years.try_cast("double").isNull(), "experience is no number"), F.when(filled & ~years.try_cast("double").between(0, 60), "experience is not 0 to 60"),
         F.when(~value("remote_preference").isin(*REMOTE_CHOICES), "remote_preference is unknown"), *map(url, ("linkedin_url", "github_url", "portfolio_url")),

@@ -9,6 +9,7 @@ from tallgrass.functions.hashing import record_id
 from tallgrass.operators import indexing, portals
 from tallgrass.operators import lifecycle as lc
 from tallgrass.operators import matching as m
+from tallgrass.operators import profiles as pr
 
 OLD = datetime.datetime(2024, 1, 1)
 
@@ -82,3 +83,22 @@ def test_groups_of_queries_are_one_answer(spark):
     queries = rows.where("row_id % 5 = 0").withColumnRenamed("row_id", "query_id")
     whole, parts = ({(r.query_id, r.row_id, r["rank"]) for r in m.top_k(queries, rows, 3, most_queries=n).collect()} for n in (1000, 15))
     assert whole == parts and len(whole) == 120
+
+
+def test_patches_with_two_faults(spark):
+    cases = [
+        ({"full_name": "Other", "phone": "12"}, ["name is locked", "phone is invalid"]), ({"full_name": "", "name": "Other"}, ["name is locked"]), ({"full_name": " ", "name": "Other"}, []), ({"full_name": "jo doe", "email": "X@x.org"}, []),
+        ({"name": "Jo  Doe", "email": "y@x.org", "sha256": "1", "resume_id": "2"}, ["email is locked", "locked: resume_id, sha256"]), ({"total_experience_years": "61", "hobby": "z", "github_url": "ftp://x"}, ["experience is not 0 to 60", "github_url is no web address", "unknown: hobby"]), ({}, []), (None, []),
+    ]
+    rows = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "i int, p map<string,string>")
+    got = {r.i: r.e or [] for r in rows.select("i", pr.patch_errors(F.col("p"), F.lit("Jo Doe"), F.lit("x@x.org")).alias("e")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_the_last_parse_of_a_resume_counts(spark):
+    current = spark.createDataFrame([("r1", "s1", "h1", OLD, OLD, True)], "resume_id string, sha256 string, content_hash string, first_seen_at timestamp, last_seen_at timestamp, is_active boolean")
+    batch = spark.createDataFrame([("s1", "r1", "h9", 1), ("s2", "r1", "h2", 2), (None, "r2", "h", 3), ("a" * 30, None, "h5", 4)], "sha256 string, resume_id string, content_hash string, n int")
+    after, told = lc.resume_upsert(current, batch, now(), "n")
+    assert {(r.resume_id, r.sha256, r.content_hash, r.first_seen_at.month) for r in after.collect()} == {("r1", "s2", "h2", 1), ("res_" + "a" * 24, "a" * 30, "h5", 6)}
+    assert {r.history_id for r in told.collect()} == {"reshist_r1_h2", f"reshist_res_{'a' * 24}_h5"}
+    assert {r.content_hash for r in lc.resume_upsert(current, batch, now())[0].where("resume_id = 'r1'").collect()} == {"h9"}
