@@ -86,10 +86,14 @@ def distinct_spans(spans: DataFrame, key: str, share: float = 0.8) -> DataFrame:
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(length=pdf.end_line - pdf.start_line + 1).sort_values(["confidence", "length", "start_line", "end_line", "span_type"], ascending=[False, False, True, True, True])
         kept: list[int] = []
-        at = list(zip(pdf.span_type, pdf.start_line, pdf.end_line, strict=True))
-        for i, (kind, a, b) in enumerate(at):
-            if all(k != kind or min(b, y) - max(a, x) + 1 < share * min(b - a + 1, y - x + 1) for k, x, y in (at[j] for j in kept)):
+        # spans that were kept, by type and by each bin of 64 lines that they reach; only those can overlap
+        held: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for i, (kind, a, b) in enumerate(zip(pdf.span_type, pdf.start_line, pdf.end_line, strict=True)):
+            bins = [(kind, n) for n in range(a // 64, b // 64 + 1)]
+            if all(min(b, y) - max(a, x) + 1 < share * min(b - a + 1, y - x + 1) for n in bins for x, y in held.get(n, ())):
                 kept.append(i)
+                for n in bins:
+                    held.setdefault(n, []).append((a, b))
         return pdf.iloc[kept].drop(columns="length").sort_values(["start_line", "end_line", "span_type"])
 
     return spans.groupBy(key).applyInPandas(choose, spans.schema)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..operators import indexing, portals
 from ..operators import lifecycle as lc
-from .matching_queries import MATCH_SQL, _matches
-from .registry import query
+from ..sources import readers, sinks
+from ..streaming import events as ev
+from .matching_queries import MATCH_SQL, _matches, training_pairs
+from .registry import ORACLE, query, stamp
+from .stream_queries import _folder
 
 NOW = "2001-08-02 00:00:00"
 
@@ -112,3 +115,39 @@ def match_shared(t):
 def match_mean(t):
     e6 = lambda c: F.round(F.avg(F.round(F.col(c) * 1e6))).cast("long")
     return _matches(t).agg(F.count(F.lit(1)).alias("matches"), e6("skill_score").alias("mean_skill_e6"), e6("location_score").alias("mean_place_e6"))
+
+
+@query("snk_matches", f"with {MATCH_SQL} select candidate_id, job_id, rank, (select count(*) from mt) as matches from mt")
+def snk_matches(t):
+    """Matches as written in three forms and read back: flat rows that are at their place in their candidate's group, and the summary's count."""
+    at = _folder(t)
+    sinks.write_matches(_matches(t), at)
+    flat = t.spark.read.schema("candidate_id long, job_id long, rank long").json(f"{at}/matches")
+    groups = t.spark.read.schema("candidate_id long, jobs array<long>").json(f"{at}/grouped").select("candidate_id", F.posexplode("jobs").alias("place", "job_id"))
+    from pyspark.sql import Window
+
+    nth = (F.row_number().over(Window.partitionBy("candidate_id").orderBy("rank")) - 1).alias("place")
+    count = t.spark.read.schema("matches long").json(f"{at}/summary")
+    return flat.select("candidate_id", "job_id", "rank", nth).join(groups, ["candidate_id", "job_id", "place"]).join(count).select("candidate_id", "job_id", "rank", "matches")
+
+
+@query("snk_training_pairs", ORACLE["training_pairs"])
+def snk_training_pairs(t):
+    """Training pairs as JSON lines, read back."""
+    at = _folder(t)
+    rows = training_pairs(t)
+    sinks.write_records(rows, at)
+    return readers.read_records(t.spark, at, ", ".join(f"{c} {kind}" for c, kind in rows.dtypes))
+
+
+@query("str_append", "select event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') as at from events")
+def str_append(t):
+    """Audit rows appended as they come: the stream ends, more come, it goes on where it was."""
+    at = _folder(t)
+    rows = t.events.select("event_id", "user_id", "event_type", "ts")
+    for k in range(3):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).write.parquet(f"{at}/in/{k}")
+        source = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        ev.into_table(source, f"{at}/out", f"{at}/checkpoint")
+    got = t.spark.read.schema(rows.schema).parquet(f"{at}/out")
+    return got.select("event_id", "user_id", "event_type", stamp(F.col("ts")).alias("at"))
