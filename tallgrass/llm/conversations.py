@@ -339,7 +339,7 @@ _STATISTICS = "conv_id long, at long, blank long, duplicate long, truncated long
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Charts of a conversation's runs, in order, joined at their ends: which item each begins and ends with. A conversation leaves N bytes a run here."""
+    """Charts of a conversation's runs, in order, joined at their ends: which item each begins and ends with. A conversation leaves some 300 bytes for each run of up to 4096 rows here, whatever its texts."""
     held: list[pa.RecordBatch] = []
     came: list[np.ndarray] = []
     cost, rank, conv = None, None, ()
