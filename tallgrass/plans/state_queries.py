@@ -73,7 +73,7 @@ def _misses_sql() -> str:
 
 @query("str_misses", _misses_sql())
 def str_misses(t):
-    """Three runs of discovery, one file each; the third comes after a restart, and the second once more with it."""
+    """Three runs of discovery, the first two in one trigger; the third comes after a restart, and the second once more with it."""
     at = _folder(t)
     one = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
@@ -84,15 +84,14 @@ def str_misses(t):
     def discover(r: int, name: str) -> None:
         seen = jobs.where(_seen_sql(r)).select("target", F.lit(r).cast("long").alias("run"), "url_key", F.lit(None).cast("long").alias("expected"))
         closing = seen.groupBy("target", "run").agg(F.count(F.lit(1)).alias("expected")).select("target", "run", F.lit(None).cast("string").alias("url_key"), "expected")
-        closing.unionByName(seen).coalesce(1).write.parquet(f"{at}/in/{name}")
+        closing.unionByName(seen).write.parquet(f"{at}/in/{name}")
 
-    source = lambda: t.spark.readStream.schema("target long, run long, url_key string, expected long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+    source = lambda: t.spark.readStream.schema("target long, run long, url_key string, expected long").option("recursiveFileLookup", "true").parquet(f"{at}/in")
     for runs in (((1, "1"), (2, "2")), ((2, "again"), (3, "3"))):
         for r, name in runs:
             discover(r, name)
-        with state.rocksdb(t.spark):
-            ev.into_table(state.missed(source(), jobs), f"{at}/out", f"{at}/checkpoint")
-    return t.spark.read.schema(state.Misses.OUT).parquet(f"{at}/out").select("target", F.col("run").cast("int").alias("run"), "job_id", "missing_count", "is_active", "outcome")
+        ev.into_table(state.missed(source(), jobs), f"{at}/out", f"{at}/checkpoint")
+    return t.spark.read.schema(state.MISSES).parquet(f"{at}/out").select("target", F.col("run").cast("int").alias("run"), "job_id", "missing_count", "is_active", "outcome")
 
 
 _BASE, _CAP, _MOST = 3600, 10_000, 2
@@ -126,7 +125,7 @@ def str_retries(t):
     source = t.spark.readStream.schema("request_id long, at timestamp, failed boolean").option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(f"{at}/in")
     with state.rocksdb(t.spark):
         ev.into_table(state.retries(source, base=_BASE, cap=_CAP, most=_MOST, late="40 days"), f"{at}/out", f"{at}/checkpoint")
-    return t.spark.read.schema(state.Retries.OUT).parquet(f"{at}/out").select("request_id", "attempt", F.unix_millis("due").alias("due_ms"), "outcome")
+    return t.spark.read.schema(state.RETRIES).parquet(f"{at}/out").select("request_id", "attempt", F.unix_millis("due").alias("due_ms"), "outcome")
 
 
 def _drain_sql() -> str:

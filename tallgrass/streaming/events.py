@@ -66,9 +66,12 @@ def leases(events: DataFrame, seconds: int, late: str = LATE) -> DataFrame:
     return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(grant, "event_id long, user_id long", "until double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def into_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def into_table(stream, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all that is there and ends. Appended rows go to Parquet under ``path``; the checkpoint makes a second run
-    take only what is new."""
+    take only what is new. What isn't a DataFrame runs itself (``state.missed``)."""
+    if not isinstance(stream, DataFrame):
+        stream.into_table(path, checkpoint)
+        return
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     q.format("parquet").option("path", path).start().awaitTermination()
 
