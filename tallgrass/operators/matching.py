@@ -16,6 +16,10 @@ from ..functions import scoring
 from ..session import kept
 
 
+#: Products that a task holds at a time: 4 MB of them, however large batches and the set of queries are.
+CELLS = 1 << 19
+
+
 def valid_vectors(df: DataFrame, column: str, size: int) -> DataFrame:
     """Adds ``fault``: null, or why a vector can't be indexed."""
     v = F.col(column)
@@ -68,9 +72,11 @@ def _top_k(queries: DataFrame, rows: DataFrame, k: int) -> tuple[DataFrame, Broa
         for b in batches:
             if not b.num_rows:
                 continue
-            for low in range(0, len(unit), 1024):
-                scores = _unit(b.column("vector"), size) @ unit[low : low + 1024].T
-                scores = np.where(np.isnan(scores), -np.inf, scores)
+            own = _unit(b.column("vector"), size)
+            step = max(1, CELLS // b.num_rows)
+            for low in range(0, len(unit), step):
+                scores = own @ unit[low : low + step].T
+                scores[np.isnan(scores)] = -np.inf
                 # of each query the k best of the batch and all that score within rounding of the last of them
                 last = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.full(scores.shape[1], -np.inf)
                 row, of = np.nonzero((scores >= last - 1e-12) & (scores > -np.inf))
