@@ -25,12 +25,18 @@ def field(payload: Column, name: str) -> Column:
     return F.coalesce(*[F.get_json_object(payload, f"$.{a}") for a in ALIASES[name]])
 
 
+def _within(payload: Column, names: tuple[str, ...], fits) -> Column:
+    """What is under the first of some names and fits, else the payload; each path is read once."""
+    return F.element_at(F.transform(F.array(payload), lambda p: F.coalesce(F.try_element_at(F.filter(F.array(*[F.get_json_object(p, f"$.{k}") for k in names]), fits), F.lit(1)), p)), 1)
+
+
 def candidates(payload: Column) -> Column:
     """The objects in a payload: of a wrapper 'job', 'item', 'record' or 'data', of a list under their plurals, of a list, or itself."""
-    inner = F.coalesce(*[F.when(F.get_json_object(payload, f"$.{k}").startswith("{"), F.get_json_object(payload, f"$.{k}")) for k in ("job", "item", "record", "data")], payload)
-    many = F.coalesce(*[F.when(F.get_json_object(inner, f"$.{k}").startswith("[") & (F.get_json_object(inner, f"$.{k}") != "[]"), F.get_json_object(inner, f"$.{k}")) for k in ("jobs", "items", "records", "data")], inner)
-    listed = F.transform(F.from_json(many, "array<map<string,string>>"), lambda m: F.to_json(m))
-    return F.when(F.ltrim(many).startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).when(F.ltrim(many).startswith("{"), F.array(many)).otherwise(F.array().cast("array<string>"))
+    inner = _within(payload, ("job", "item", "record", "data"), lambda x: x.startswith("{"))
+    many = _within(inner, ("jobs", "items", "records", "data"), lambda x: x.startswith("[") & (x != "[]"))
+    none = F.array().cast("array<string>")
+    listed = lambda m: F.transform(F.from_json(m, "array<map<string,string>>"), lambda x: F.to_json(x))
+    return F.element_at(F.transform(F.array(many), lambda m: F.when(F.ltrim(m).startswith("["), F.coalesce(listed(m), none)).when(F.ltrim(m).startswith("{"), F.array(m)).otherwise(none)), 1)
 
 
 def best(rows: DataFrame, key: str, payload: str, url: str) -> DataFrame:
