@@ -6,7 +6,8 @@
    candidates. First each bucket's members meet its most central one, that with the most neighbours over all
    its buckets: in a group of copies of one text that is the text itself. The links that hold give components.
 3. A bucket that still holds two components has its members' signatures compared, whole against whole in
-   blocks, but only pairs across components.
+   blocks, but only pairs across components. A wide one is first split by later bands, which join most of what is alike, then
+   compared in full.
 4. Signatures are compared a batch of 25 minima at a time; a pair goes as soon as the posterior probability of a
    similarity at or over the threshold is below ``miss``. Survivors are verified on the full sets.
 
@@ -16,7 +17,7 @@ Every banded candidate pair is thus either inside a component, pruned by its pos
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,6 +30,8 @@ from .components import components
 
 HASHES, ROWS, BATCH = 125, 5, 25
 BANDS = HASHES // ROWS
+#: How many times larger blocks are where a wide bucket is compared in full.
+WIDER = 4
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(13).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -167,24 +170,33 @@ def across(sig: np.ndarray, left: np.ndarray, right: np.ndarray, parts: np.ndarr
                 yield x[first], y[first], matches[first]
 
 
-def connecting(sets: list[np.ndarray], parts: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Verified links among ``pairs`` that join all that verified links of them join: best matches first, and a pair
+def connecting(sets: list[np.ndarray], parts: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], percent: int, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Verified links among ``pairs`` that join all that verified links of them join: of about ``most`` at a time the best matches first, and a pair
     whose ends are joined by then needs no test."""
-    if not pairs:
-        return []
-    x, y, matches = (np.concatenate(c) for c in zip(*pairs, strict=True))
-    order = np.argsort(-matches, kind="stable")
-    x, y = x[order], y[order]
     part = np.unique(parts, return_inverse=True)[1]
-    links = []
-    while len(x):
-        for i, j in zip(x[:256].tolist(), y[:256].tolist(), strict=True):
-            if part[i] != part[j] and similar(sets[i], sets[j], percent):
-                part[part == part[j]] = part[i]
-                links.append((i, j))
-        x, y = x[256:], y[256:]
-        apart = part[x] != part[y]
-        x, y = x[apart], y[apart]
+    links: list[tuple[int, int]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def join() -> None:
+        x, y, matches = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(-matches, kind="stable")
+        x, y = x[order], y[order]
+        while len(x):
+            apart = part[x] != part[y]
+            x, y = x[apart], y[apart]
+            for i, j in zip(x[:256].tolist(), y[:256].tolist(), strict=True):
+                if part[i] != part[j] and similar(sets[i], sets[j], percent):
+                    part[part == part[j]] = part[i]
+                    links.append((i, j))
+            x, y = x[256:], y[256:]
+
+    for found in pairs:
+        held.append(found)
+        if sum(len(x) for x, _, _ in held) >= most:
+            join()
+    if held:
+        join()
     return links
 
 
@@ -289,7 +301,7 @@ def _links(base: DataFrame, buckets: DataFrame, bands: DataFrame, scratch: Scrat
         group = group.combine_chunks()
         rows, parts, pairs = columns(group)
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
-        links = connecting(sets, parts, list(pairs), percent)
+        links = connecting(sets, parts, pairs, percent)
         return pa.table({"a": pa.array([rows[i] for i, _ in links], pa.int64()), "b": pa.array([rows[j] for _, j in links], pa.int64())})
 
     weighed = buckets.join(central, "row")
@@ -298,30 +310,46 @@ def _links(base: DataFrame, buckets: DataFrame, bands: DataFrame, scratch: Scrat
     stars = scratch.put(stars.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct())
     pairs = scratch.put(meet(stars, sig, "sig").mapInArrow(prune, "a long, b long"))
     links = scratch.put(meet(pairs, whole, "shingles").mapInArrow(verify, "a long, b long"))
-    parts = components(links, scratch)
-    labelled = buckets.join(parts.select(F.col("node").alias("row"), "component"), "row", "left").select("at", "band", "row", F.coalesce("component", "row").alias("part"), F.array("at").alias("path"))
-    level, narrow = scratch.put(labelled), []
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    while True:
+
+    def labelled(of: DataFrame, links: DataFrame) -> DataFrame:
+        parts = components(links, scratch).select(F.col("node").alias("row"), "component")
+        return scratch.put(of.join(parts.hint("merge"), "row", "left").select("at", "band", "row", F.coalesce("component", "row").alias("part"), F.array("at").alias("path")))
+
+    def measured(level: DataFrame, block: int) -> DataFrame:
+        """Of each bucket with two components: the largest one, and how many blocks it and the others fill."""
         mixed = level.groupBy("at", "band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("at", "band")
-        # a bucket's largest component comes after the others' blocks; its blocks meet theirs, never each other
         sizes = level.join(mixed, ["at", "band"]).groupBy("at", "band", "part").agg(F.count(F.lit(1)).alias("members"))
         largest = sizes.groupBy("at", "band").agg(F.sum("members").alias("all"), F.max(F.struct("members", "part")).alias("big"))
-        largest = scratch.put(largest.select("at", "band", F.col("big.part").alias("big"), blocks(F.col("all") - F.col("big.members")).alias("others"), blocks(F.col("big.members")).alias("bigs")))
+        blocks = lambda n: F.ceil(n / block).cast("int")
+        return scratch.put(largest.select("at", "band", F.col("big.part").alias("big"), blocks(F.col("all") - F.col("big.members")).alias("others"), blocks(F.col("big.members")).alias("bigs")))
+
+    def compared(found: DataFrame) -> DataFrame:
+        """Links of all pairs across components in buckets: a bucket's largest component comes after the others' blocks; its blocks meet theirs, never each other."""
+        open_ = found.withColumn("inside", F.col("part") == F.col("big")).join(sig.hint("merge"), "row")
+        share = F.pmod(F.xxhash64("row"), F.when(F.col("inside"), F.col("bigs")).otherwise(F.col("others"))).cast("int")
+        open_ = open_.withColumn("mine", share + F.when(F.col("inside"), F.col("others")).otherwise(0))
+        # block i meets every block j >= i; side 0 is i's, 1 is j's, 2 where both are the same
+        last = F.when(F.col("inside"), F.col("others")).otherwise(F.col("others") + F.col("bigs")) - 1
+        one = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j"), F.when(k == F.col("mine"), 2).when(k > F.col("mine"), 0).otherwise(1).alias("side")))
+        tasks = open_.select("at", "band", "path", "row", "part", "sig", F.explode(one).alias("t")).select("at", "band", "path", "row", "part", "sig", "t.*")
+        block_of = ["at", "band", "i", "j"]
+        left = scratch.put(tasks.groupBy(*block_of).applyInArrow(needed, "at int, band long, path array<int>, row long, part long, i int, j int, side int"))
+        return left.join(held.hint("merge"), "row").groupBy(*block_of).applyInArrow(joined, "a long, b long")
+
+    level, narrow, rest = labelled(buckets, links), [], None
+    while True:
+        largest = measured(level, block)
         narrow.append(level.join(largest.where(F.col("others") <= wide), ["at", "band"]))
         many = largest.where(F.col("others") > wide)
         if many.isEmpty():
             break
+        rest = many.select("at", "band") if rest is None else rest
         later = level.join(many.select("at", "band"), ["at", "band"]).join(bands.hint("merge"), "row").select("at", "band", "row", "part", "path", F.posexplode("bands").alias("next", "key")).where(F.col("next") > F.element_at("path", -1))
         level = scratch.put(later.select("at", F.xxhash64("band", "next", "key").alias("band"), "row", "part", F.concat("path", F.array("next")).alias("path")))
-    open_ = reduce(DataFrame.unionByName, narrow).withColumn("inside", F.col("part") == F.col("big")).join(sig.hint("merge"), "row")
-    share = F.pmod(F.xxhash64("row"), F.when(F.col("inside"), F.col("bigs")).otherwise(F.col("others"))).cast("int")
-    open_ = open_.withColumn("mine", share + F.when(F.col("inside"), F.col("others")).otherwise(0))
-    # block i meets every block j >= i; side 0 is i's, 1 is j's, 2 where both are the same
-    last = F.when(F.col("inside"), F.col("others")).otherwise(F.col("others") + F.col("bigs")) - 1
-    one = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j"), F.when(k == F.col("mine"), 2).when(k > F.col("mine"), 0).otherwise(1).alias("side")))
-    tasks = open_.select("at", "band", "path", "row", "part", "sig", F.explode(one).alias("t")).select("at", "band", "path", "row", "part", "sig", "t.*")
-    block_of = ["at", "band", "i", "j"]
-    left = scratch.put(tasks.groupBy(*block_of).applyInArrow(needed, "at int, band long, path array<int>, row long, part long, i int, j int, side int"))
-    more = left.join(held.hint("merge"), "row").groupBy(*block_of).applyInArrow(joined, "a long, b long")
+    links = scratch.put(links.unionByName(compared(reduce(DataFrame.unionByName, narrow))))
+    if rest is None:
+        return links
+    # the splits join most of a wide bucket; what they leave apart meets in full, in larger blocks that are sent fewer times
+    level = labelled(buckets.join(rest, ["at", "band"], "left_semi"), links)
+    more = compared(level.join(measured(level, WIDER * block), ["at", "band"]))
     return scratch.put(links.unionByName(more))

@@ -8,14 +8,15 @@ from random import Random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tallgrass.llm import simple8b
 from tallgrass.llm.components import components
-from tallgrass.llm.common import Scratch, equal_spans, span_hashes
+from tallgrass.llm.common import ALNUM, Scratch, equal_spans, span_hashes
 from tallgrass.llm.decontaminate import Machine, contaminated
 from tallgrass.llm.exact_dedup import exact_dedup
 from tallgrass.llm.licenses import detections, license_scan, rules
-from tallgrass.llm.minhash_dedup import least_matches, near_dedup
+from tallgrass.llm.minhash_dedup import band_keys, least_matches, near_dedup, shingle_sets, signatures, similar
 from tallgrass.llm.mixing import mix
 from tallgrass.llm.substring_dedup import Texts, agreed, aligned, compact_windows, passages, repeated_passages
 from tallgrass.llm.suffix_dedup import repeated_bytes
@@ -295,6 +296,27 @@ def test_near_dedup_among_pages_of_one_template(spark):
         assert {r.doc_id: r.component_id for r in near_dedup(frame, size=4, block=block, wide=wide).collect()} == dict(enumerate(up))
 
 
+def test_near_dedup_joins_pairs_that_share_one_band_of_a_wide_bucket(spark):
+    """Every pair that shares a band and is similar enough is joined, however many blocks its bucket fills and however few bands it shares."""
+    rng = Random(21)
+    made = []
+    for _ in range(40):
+        template = [f"t{rng.randrange(10**6)}" for _ in range(24)]
+        made += [[f"x{rng.randrange(10**6)}" if rng.random() < 0.12 else w for w in template] for _ in range(12)]
+    sets = [np.unique(s) for s in shingle_sets(pa.array([" ".join(x).encode() for x in made], pa.binary()), 1, ALNUM)]
+    keys = band_keys(signatures(sets))
+    up = list(range(len(made)))
+    for i in range(len(made)):
+        for j in range(i):
+            if (keys[i] == keys[j]).any() and up[i] != up[j] and similar(sets[i], sets[j], 65):
+                old, new = up[i], up[j]
+                up = [new if u == old else u for u in up]
+    want = {i: min(j for j in range(len(made)) if up[j] == up[i]) for i in range(len(made))}
+    frame = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(made)], "doc_id long, text string")
+    got = near_dedup(frame, size=1, percent=65, miss=0.0, block=1, wide=1)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     least = least_matches(80, 1e-4)
     assert least == sorted(least) and least[-1] < 0.8 * 125
