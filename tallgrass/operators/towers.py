@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import skills as sk
-from ..functions.text import compact, string_list
+from ..functions.text import compact, once, string_list
 
 
 def labelled(label: str, value: Column) -> Column:
     """'label: value', null for a null or empty value."""
-    return F.when(F.coalesce(value.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{label}: "), value.cast("string")))
+    return once(value.cast("string"), lambda v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{label}: "), v)))
 
 
 def listed(label: str, items: Column, joiner: str = ", ") -> Column:

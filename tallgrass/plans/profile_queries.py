@@ -36,7 +36,9 @@ _IDENT = "concat(c_name, chr(10), 'Engineer', chr(10), c_mktsegment, case when c
 
 @query("twr_candidate", f"select concat('cand_', left(sha256(cast(c_custkey as varchar)), 24)) as candidate_id, {_IDENT} as identity_text, concat('Skills: PySpark', case when c_custkey % 3 = 0 then ', Kafka' else '' end) as skills_text, concat('Data Engineer ', c_mktsegment, ' Responsibilities: built things') as experience_text, 'BSc U' as education_text from customer")
 def twr_candidate(t):
-    return towers.candidate_tower(_profiles(t)).select("candidate_id", "identity_text", "skills_text", "experience_text", "education_text")
+    # a file of few row groups is few tasks, whatever it holds
+    profiles = _profiles(t).repartition("sha256")
+    return towers.candidate_tower(profiles).select("candidate_id", "identity_text", "skills_text", "experience_text", "education_text")
 
 
 @query("twr_parsed", "select concat('cand_', left(sha256(cast(c_custkey as varchar)), 24)) as candidate_id, concat(c_name, ' Engineer ', c_mktsegment) as identity_text, 'Skills: py spark, Tools Domains: Certifications:' as skills_text, concat('Data Engineer | ', c_mktsegment, ' | Responsibilities: built things') as experience_text from customer")
