@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,23 +81,28 @@ def distinct_spans(spans: DataFrame, key: str, share: float = 0.8) -> DataFrame:
     """Drops of two spans of one type that overlap by ``share`` of the shorter the one of lower (confidence, length).
 
     Spans are met from high to low and compared with those kept before, so the choice is greedy; a pairwise
-    join would drop too much. A task holds the spans of one document.
+    join would drop too much. A task holds what it kept of one document; Spark sorts the rows.
     """
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(length=pdf.end_line - pdf.start_line + 1).sort_values(["confidence", "length", "start_line", "end_line", "span_type"], ascending=[False, False, True, True, True])
-        kept: list[int] = []
-        # spans that were kept, by type and by each bin of 64 lines that they reach; only those can overlap
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = choose  # no document yet
+        # spans of the document that were kept, by type and by each bin of 64 lines that they reach; only those can overlap
         held: dict[tuple[str, int], list[tuple[int, int]]] = {}
-        for i, (kind, a, b) in enumerate(zip(pdf.span_type, pdf.start_line, pdf.end_line, strict=True)):
-            bins = [(kind, n) for n in range(a // 64, b // 64 + 1)]
-            if all(min(b, y) - max(a, x) + 1 < share * min(b - a + 1, y - x + 1) for n in bins for x, y in held.get(n, ())):
-                kept.append(i)
-                for n in bins:
-                    held.setdefault(n, []).append((a, b))
-        return pdf.iloc[kept].drop(columns="length").sort_values(["start_line", "end_line", "span_type"])
-
-    return spans.groupBy(key).applyInPandas(choose, spans.schema)
+        for batch in batches:
+            kept: list[int] = []
+            for i, (doc, kind, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, "span_type", "start_line", "end_line")), strict=True)):
+                if doc != now:
+                    now, held = doc, {}
+                bins = [(kind, n) for n in range(a // 64, b // 64 + 1)]
+                if all(min(b, y) - max(a, x) + 1 < share * min(b - a + 1, y - x + 1) for n in bins for x, y in held.get(n, ())):
+                    kept.append(i)
+                    for n in bins:
+                        held.setdefault(n, []).append((a, b))
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    length, none = F.col("end_line") - F.col("start_line"), F.coalesce(F.isnan(F.col("confidence").cast("double")), F.lit(True))
+    ordered = spans.repartition(key).sortWithinPartitions(key, none, F.desc("confidence"), length.desc(), "start_line", "end_line")
+    return ordered.mapInArrow(choose, spans.schema)
 
 
 def capped_spans(spans: DataFrame, key: str, caps: dict[str, int], other: int) -> DataFrame:

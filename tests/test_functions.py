@@ -203,3 +203,18 @@ def test_an_address_is_taken_apart_once(spark):
     assert [r.c for r in made.collect()] == ["https://a.org/x?b=", "/p", "", "http://a.org/"]
     plan = made._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract(") == 4
+
+
+def test_a_skill_is_made_once(spark):
+    """A skill's name evaluates each pattern once, however many rules look at it."""
+    made = spark.createDataFrame([(" Py  Spark. ",), ("Tools",), (None,)], "s string").select(skills.canonical_skill(F.col("s")).alias("c"))
+    assert [r.c for r in made.collect()] == ["PySpark", None, None]
+    assert made._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 2
+
+
+def test_spans_are_chosen_without_a_frame_for_each_document(spark):
+    """Documents of any number pass in sorted batches; what was kept of one isn't held against the next."""
+    made = spark.createDataFrame([(k, kind, 1, 10, 3.0 + i) for k in (1, 2, None) for kind in "ab" for i in range(3)], "doc long, span_type string, start_line int, end_line int, confidence double")
+    got = documents.distinct_spans(made, "doc")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(k, kind, 1, 10, 5.0) for k in (1, 2, None) for kind in "ab"], key=str)
+    assert "InPandas" not in got._jdf.queryExecution().analyzed().toString()
