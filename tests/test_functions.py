@@ -218,3 +218,13 @@ def test_spans_are_chosen_without_a_frame_for_each_document(spark):
     got = documents.distinct_spans(made, "doc")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(k, kind, 1, 10, 5.0) for k in (1, 2, None) for kind in "ab"], key=str)
     assert "InPandas" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_text_without_mails_is_read_once(spark):
+    """A run of name characters without @ costs its length; an e-mail may begin where the one before ended."""
+    long = "a" * 300_000
+    made = spark.createDataFrame([(long,), ("a@b.co_c@d.org x@y.zz é1!",), (None,)], "t string")
+    q = text.quality(F.col("t"))
+    got = [tuple(r) for r in made.select(q["email_count"], q["alnum_permille"], q["char_count"]).collect()]
+    assert got == [(0, 1000, 300_000), (3, 560, 25), (0, 0, 0)]
+    assert value(spark, text.contact(F.lit("a@b.co_c@d.org"))["email"]) == "a@b.co"
