@@ -42,10 +42,13 @@ def str_index_changes(t):
     """A stream of orders by year; a customer's record is embedded anew where its priority changed. Delivered twice, under the same batch numbers."""
     at = _folder(t)
     rows = t.orders.select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("content_hash"), F.col("o_comment").alias("embedding_text") if "o_comment" in t.orders.columns else F.col("o_clerk").alias("embedding_text") if "o_clerk" in t.orders.columns else F.col("o_orderpriority").alias("embedding_text"), F.col("o_orderkey").alias("ordinal"), F.year("o_orderdate").alias("y"))
-    years = [r.y for r in rows.select("y").distinct().orderBy("y").collect()]
-    for y in years:
-        rows.where(F.col("y") == y).drop("y").coalesce(1).write.parquet(f"{at}/in/{y}")
-    source = t.spark.readStream.schema(rows.drop("y").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+    years = rows.groupBy("y").count().orderBy("y").collect()
+    # as many files for each year, all filled, so that a trigger takes one year; more than one where years have very many rows
+    files = max(1, min(8, min((r["count"] for r in years), default=0) // 100_000))
+    for r in years:
+        year = rows.where(F.col("y").eqNullSafe(F.lit(r.y))).drop("y")
+        (year.repartition(files) if files > 1 else year.coalesce(1)).write.parquet(f"{at}/in/{r.y}")
+    source = t.spark.readStream.schema(rows.drop("y").schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{at}/in")
     made = Collection(t.spark, f"{at}/index", COLUMNS)
     made.ensure(64, buckets=8)
     for again in range(2):

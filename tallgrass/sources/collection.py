@@ -73,6 +73,11 @@ class Collection:
         reader = self.spark.read.schema(self.schema)
         return reader.parquet(*places) if places else self.spark.createDataFrame([], self.schema)
 
+    def holds(self, batch: int) -> bool:
+        """Whether a numbered batch, or a later one, was written."""
+        found = self.version()
+        return bool(found) and found[1][0]["batch"] is not None and batch <= found[1][0]["batch"]
+
     def upsert(self, rows: DataFrame, *, order: str | None = None, batch: int | None = None) -> bool:
         """Writes rows (key, vector, further columns) by key; of rows that share one the last in ``order`` counts, without an order any.
 
@@ -92,10 +97,10 @@ class Collection:
         new = new.groupBy("point_id", "key").agg(last.alias("last"), F.count_if(F.coalesce(F.trim("key"), F.lit("")) == "").alias("blank")).select("point_id", "key", "last.*", "blank")
         bucket = F.pmod(F.xxhash64("point_id"), F.lit(head["buckets"])).cast("int")
         new = kept(valid_vectors(new, "vector", head["size"]).withColumn("bucket", bucket))
-        wrong = new.where("fault is not null or blank > 0").select("key", "fault").first()
+        first = F.first(F.when(F.expr("fault is not null or blank > 0"), F.struct("key", "fault")), ignorenulls=True)
+        wrong, touched = new.agg(first, F.collect_set("bucket")).first()  # no more buckets than there are
         if wrong:
             raise (SizeMismatch if wrong.fault == "size" else ValueError)(f"key {wrong.key!r}: {wrong.fault or 'blank'}")
-        touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # no more than there are buckets
         if not touched and batch is None:
             return False
         folder = f"{number + 1}-{uuid.uuid4().hex}"

@@ -28,12 +28,15 @@ def index_changes(stream: DataFrame, collection: Collection, embed: Callable[[li
     """Runs a stream of records (key, content_hash, embedding_text, ordinal) over all that is there.
 
     Of each micro-batch only records whose hash differs from the index are embedded, and go in by key. The collection's manifest names the last batch it
-    holds, so a batch that comes again after a failure changes nothing. Records without key or text stay out.
+    holds, so a batch that comes again after a failure changes nothing and isn't worked on. Records without key or text stay out.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
+        if collection.holds(number):
+            return
         filled = batch.where("coalesce(trim(cast(key as string)), '') <> '' and coalesce(trim(embedding_text), '') <> ''")
-        new = kept(changed(filled, collection.read()))
+        # rows are few bytes each and much work, so their number and not their size says how many tasks embed them
+        new = kept(changed(filled, collection.read()).repartition(batch.sparkSession.sparkContext.defaultParallelism))
         vectors = embedded(new, "key", embed).drop("point_id")
         collection.upsert(vectors.join(new.drop("embedding_text"), "key"), batch=number)
 

@@ -110,6 +110,23 @@ def test_indexing_of_changes(spark, tmp_path):
     assert [r.vector for r in made.read().where("key = 'b'").collect()] == hashed_vector(["three"])
 
 
+def test_batches_that_come_again_are_not_worked_on(spark, tmp_path, monkeypatch):
+    """A replay compares and embeds nothing; new records are embedded by as many tasks as there are cores, however few bytes they have."""
+    from tallgrass.streaming import indexing
+
+    spark.range(400).selectExpr("cast(id as string) as key", "'h' as content_hash", "concat('text ', id) as embedding_text", "id as ordinal").coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    made = Collection(spark, str(tmp_path / "index"), COLUMNS)
+    made.ensure(64, buckets=2)
+    seen, tasks = [], []
+    changed, embedded = indexing.changed, indexing.embedded
+    monkeypatch.setattr(indexing, "changed", lambda *a: seen.append(1) or changed(*a))
+    monkeypatch.setattr(indexing, "embedded", lambda rows, *a: tasks.append(rows.rdd.getNumPartitions()) or embedded(rows, *a))
+    for again in range(2):
+        source = spark.readStream.schema("key string, content_hash string, embedding_text string, ordinal long").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        index_changes(source, made, hashed_vector, str(tmp_path / f"checkpoint-{again}"))
+    assert made.read().count() == 400 and len(seen) == 1 and tasks == [spark.sparkContext.defaultParallelism]
+
+
 def test_misses_as_in_batch(spark, tmp_path):
     """Run after run the rows of ``reset_seen`` and ``reconcile``; runs in pieces, out of order, again, and across restarts."""
     rng = Random(2)
