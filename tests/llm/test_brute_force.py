@@ -153,6 +153,32 @@ def test_near_passages_that_an_earlier_text_quotes_in_pieces(spark, pieces):
     assert len(found) >= 0.97 * n
 
 
+def test_near_passages_among_texts_that_quote_pieces_or_have_links(spark):
+    """Two texts with near passages amid an earlier and a later one that quote all of it in pieces; and one near a passage that is linked with a third it isn't near to."""
+    rng, made, n = Random(13), [], 40
+    fresh = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    for k in range(n):
+        one = fresh(80)
+        other = list(one)
+        other[38 + rng.randrange(4)] = "changed"
+        starts = (0, 18, 36)
+        quoted = [[w for at in starts for w in one[at : at + 44] + fresh(30)] for _ in range(2)]
+        for t, part in enumerate((quoted[0], one, other, quoted[1])):
+            made.append((10 * k + t, " ".join(fresh(60) + part + fresh(60))))
+        base = fresh(90)
+        near = list(base)
+        near[22], near[66] = "x", "y"  # two changes of 90 words
+        far = near[:64]
+        far[44] = "z"  # of 64 words one differs from the second and two from the first
+        for t, part in enumerate((base, near, far, far[:44])):
+            made.append((10 * k + 5 + t, " ".join(fresh(60) + part + fresh(60))))
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(made, "doc_id long, text string").coalesce(2)).collect()}
+    found = [k for k in range(n) if 10 * k + 1 in got and 10 * k + 2 in got and got[10 * k + 1].class_id == got[10 * k + 2].class_id]
+    linked = [k for k in range(n) if 10 * k + 7 in got and got[10 * k + 7].class_id == 10 * k + 5]
+    print("near passages found", len(found), "and", len(linked), "of", n)
+    assert len(found) >= 0.97 * n and len(linked) >= 0.97 * n
+
+
 def test_a_passage_beyond_the_reach_of_a_window(spark):
     """A text of 70,000 words, its copy in a longer one with a word changed here and there, and a text with nothing of it."""
     rng = Random(12)
