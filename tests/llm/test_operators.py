@@ -352,6 +352,28 @@ def test_repeated_bytes(docs, odd, none):
     assert repeated_bytes(none).count() == 0
 
 
+def test_repeated_bytes_of_many_versions(spark, monkeypatch):
+    """5000 versions of one text with a byte changed: what is found has no more rows than a few for each phrase, none for each start."""
+    rng = Random(17)
+    base = [rng.choice("abcdefgh") for _ in range(260)]
+    texts = []
+    for k in range(5000):
+        made = list(base)
+        made[rng.randrange(260)] = chr(33 + k % 60) + str(k)
+        texts.append((k, "".join(made)))
+    put, made = Scratch.put, []
+
+    def seen(self, df):
+        out = put(self, df)
+        if "w1" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "put", seen)
+    check_repeated_bytes(spark.createDataFrame(texts, "doc_id long, text string").coalesce(4), texts)
+    assert made[0] <= 4 * len(texts)
+
+
 def test_repeated_bytes_of_common_triggers(spark, monkeypatch):
     """Parts of one or two phrases, and every trigger salted; letters that are zero bytes, and many versions of one text."""
     from tallgrass.llm import suffix_dedup
