@@ -18,7 +18,7 @@ from tallgrass.llm.exact_dedup import exact_dedup
 from tallgrass.llm.licenses import detections, license_scan, rules
 from tallgrass.llm.minhash_dedup import band_keys, least_matches, near_dedup, shingle_sets, signatures, similar
 from tallgrass.llm.mixing import mix
-from tallgrass.llm.substring_dedup import Texts, agreed, aligned, compact_windows, passages, repeated_passages
+from tallgrass.llm.substring_dedup import Texts, agreed, aligned, compact_windows, near_keys, passages, repeated_passages, told
 from tallgrass.llm.suffix_dedup import repeated_bytes
 from tallgrass.llm.token_counts import Lengths, token_counts
 from tallgrass.llm.token_output import Ids, read_tokens, tokens_written_and_read, write_tokens
@@ -634,3 +634,50 @@ def test_toxicity_on_held_out_texts(spark, docs, none):
     assert odd_rows.count() == docs.count() and odd_rows.where("doc_id in (4, 5, 6)").where("expected_severity <> 0 or toxic").count() == 0
     assert severity(none, model).count() == 0
     assert not severity(table, train(table.limit(0), labels)).where("toxic").count()
+
+
+def test_what_tells_parts_apart():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        known = rng.integers(0, 2**63, int(rng.integers(1, 200)), dtype=np.uint64)
+        s, width = known[rng.integers(0, len(known), 300)], int(rng.integers(1, 47))
+        at = rng.integers(0, 300 - width + 1, 20)
+        size = np.array([int(rng.integers(width, 300 - a + 1)) for a in at])
+        for a, n, distinct, fewest, bits in zip(at, size, *told(s, at, size, width), strict=True):
+            part, held = s[a : a + n].tolist(), [0] * 4
+            assert distinct == len(set(part)) and fewest == min(len(set(part[i : i + width])) for i in range(n - width + 1))
+            for x in part:
+                held[x >> 6 & 3] |= 1 << (x & 63)
+            assert bits.tolist() == held
+    assert [len(x) for x in told(s[:0], at[:0], size[:0], 5)] == [0, 0, 0]
+
+
+def test_near_keys_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        sets = [rng.integers(0, 2**63, int(n), dtype=np.uint64)[rng.integers(0, max(1, n // 2), n)] for n in rng.integers(1, 90, 8)]
+        keys, places = near_keys(sets)
+        begins = np.cumsum([0, *map(len, sets)])
+        each = [(k, p + begin) for s, begin in zip(sets, begins.tolist(), strict=False) for k, p in zip(*(x.tolist() for x in near_keys([s])), strict=True)]
+        assert sorted(zip(keys.tolist(), places.tolist(), strict=True)) == sorted(each)
+
+
+def test_parts_that_cannot_be_alike_are_not_read(spark, monkeypatch):
+    """Texts that say few words over and over meet each other at very many places; parts of them go on to verification only where they may be alike."""
+    rng, read, put = Random(15), [], Scratch.put
+
+    def counted(self, df):
+        out = put(self, df)
+        if dict(df.dtypes).get("part") == "binary":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(60)
+    near = [*passage[:30], "changed", *passage[31:]]
+    junk = [[rng.choice(["so", "so", "so", "so", "wait"]) for _ in range(400)] for _ in range(12)]
+    made = [" ".join(x) for x in (fresh(40) + passage + fresh(40), fresh(70) + near + fresh(20), *junk, *(["so"] * n for n in (300, 310, 320)))]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").coalesce(2)).collect()}
+    assert got[0].class_id == got[1].class_id == 0 and got[0].n_passages == 1 and {got[i].class_id for i in (14, 15, 16)} == {14}
+    assert sum(read) < 600, read
