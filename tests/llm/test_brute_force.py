@@ -179,6 +179,17 @@ def test_near_passages_among_texts_that_quote_pieces_or_have_links(spark):
     assert len(found) >= 0.97 * n and len(linked) >= 0.97 * n
 
 
+def test_near_passages_of_a_key_that_many_texts_have(spark):
+    """90 texts quote 44 words, too few for a link; pairs amid them share 8 words before those too, the last of them changed. Neither the smallest nor the greatest text is like any."""
+    rng = Random(23)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    quote, before = some(44), {i: some(7) for i in range(20, 30)}
+    made = [(i, " ".join([*some(60), *before.get(i, before.get(i - 30, [])), *some(1), *quote, *some(60)])) for i in range(90)]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(made, "doc_id long, text string").coalesce(2)).collect()}
+    assert {i: got[i].class_id for i in got} == {i + n: i for i in before for n in (0, 30)}
+    assert all(r.n_repeated_words == 52 for r in got.values())
+
+
 def test_a_passage_beyond_the_reach_of_a_window(spark):
     """A text of 70,000 words, its copy in a longer one with a word changed here and there, and a text with nothing of it."""
     rng = Random(12)
